@@ -1,4 +1,29 @@
 """Queries of the text problems, gathered for the driver."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from quern.llm import encoding, splitting
+from quern.tables import table
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return splitting.badly_cut(table(spark, d, "documents"), table(spark, d, "document_chunks"))
+
+
+def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return splitting.pieces(table(spark, d, "documents"))
+
+
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encoding.encode_corpus(table(spark, d, "documents"))
+
+
+QUERIES = {
+    "p5_found": p5_found,
+    "p5_pieces": p5_pieces,
+    "p7_ids": p7_ids,
+}
+
+SQL: dict[str, str] = {}
