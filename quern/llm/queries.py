@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import encoding, leakage, splitting
+from quern.llm import encoding, language, leakage, splitting
 from quern.tables import table
 
 
@@ -34,6 +34,21 @@ def p8_items(spark: SparkSession, d: str) -> DataFrame:
     return p8_leaks(spark, d).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"), F.max("n_words").alias("longest"))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return language.wrong_labels(docs, language.train(docs))
+
+
+def p9_documents(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return language.document_languages(docs, language.train(docs))
+
+
+def p9_segments(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return language.segments(docs, language.train(docs))
+
+
 QUERIES = {
     "p5_found": p5_found,
     "p5_pieces": p5_pieces,
@@ -41,6 +56,9 @@ QUERIES = {
     "p8_found": p8_found,
     "p8_leaks": p8_leaks,
     "p8_items": p8_items,
+    "p9_found": p9_found,
+    "p9_documents": p9_documents,
+    "p9_segments": p9_segments,
 }
 
 SQL: dict[str, str] = {}
