@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.shipping import ship, unpack
+
 #: The languages with the ISO 639 codes and English names a label may have.
 LANGUAGES = ("en", "de", "fr", "es", "pt", "nl")
 LABELS = {
@@ -319,10 +321,10 @@ def train(documents: DataFrame, per_language: int = 400) -> LanguageModel:
 
 
 def _labelled(documents: DataFrame, model: LanguageModel, rows, schema: str, names: list[str], types: list, extra: tuple[str, ...] = ()) -> DataFrame:
-    shipped = documents.sparkSession.sparkContext.broadcast(model)
+    shipped = ship(documents.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labeller = Labeller(shipped.value)
+        labeller = Labeller(unpack(shipped))
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 b = batch.slice(at, 2000)

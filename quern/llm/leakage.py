@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.shipping import ship, unpack
+
 #: Five-word grams; with eight grams a window, every shared span of twelve words is found.
 K, WINDOW = 5, 8
 MIN_WORDS = K + WINDOW - 1
@@ -202,15 +204,14 @@ def leaks(documents: DataFrame, items: DataFrame, block_words: int = 2_000_000)
     out = None
     for k in range(blocks):
         part = segments if blocks == 1 else segments.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
-        prints = spark.sparkContext.broadcast(
-            Fingerprints([(r["item_id"], _own_segments(r["sentences"])) for r in part.collect()])
-        )
+        shipped = ship(spark, Fingerprints([(r["item_id"], _own_segments(r["sentences"])) for r in part.collect()]))
 
-        def run(batches: Iterator[pa.RecordBatch], prints=prints) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
+            prints = unpack(shipped)
             for batch in batches:
                 for at in range(0, batch.num_rows, 1000):
                     b = batch.slice(at, 1000)
-                    found = prints.value.hits(b.column(1).to_pylist())
+                    found = prints.hits(b.column(1).to_pylist())
                     docs = b.column(0).take(pa.array([f[0] for f in found], pa.int64()))
                     yield pa.RecordBatch.from_arrays(
                         [docs, pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.int32())],

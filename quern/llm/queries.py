@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import encoding, language, leakage, splitting
+from quern.llm import encoding, language, leakage, splitting, syntax
 from quern.tables import table
 
 
@@ -17,6 +17,22 @@ def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.pieces(table(spark, d, "documents"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.broken_files(table(spark, d, "file_inputs")).select("file_id")
+
+
+def p6_files(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.broken_files(table(spark, d, "file_inputs"))
+
+
+def p6_rates(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.broken_rates(table(spark, d, "file_inputs"))
+
+
+def p6_log(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.log_agreement(table(spark, d, "file_inputs"), table(spark, d, "ingestion_errors"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encoding.encode_corpus(table(spark, d, "documents"))
 
@@ -52,6 +68,10 @@ def p9_segments(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p5_found": p5_found,
     "p5_pieces": p5_pieces,
+    "p6_found": p6_found,
+    "p6_files": p6_files,
+    "p6_rates": p6_rates,
+    "p6_log": p6_log,
     "p7_ids": p7_ids,
     "p8_found": p8_found,
     "p8_leaks": p8_leaks,
