@@ -5,10 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import encoding, language, leakage, splitting, syntax
+from quern.llm import encoding, handwritten, language, leakage, splitting, syntax
 from quern.tables import table
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return handwritten.not_handwritten(table(spark, d, "file_inputs")).select("file_id")
+
+
+def p4_files(spark: SparkSession, d: str) -> DataFrame:
+    return handwritten.not_handwritten(table(spark, d, "file_inputs"))
+
+
+def p4_layout(spark: SparkSession, d: str) -> DataFrame:
+    """The layout statistics of every file with a code extension."""
+    return handwritten.described(table(spark, d, "file_inputs")).drop("code_hash")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return splitting.badly_cut(table(spark, d, "documents"), table(spark, d, "document_chunks"))
 
@@ -66,6 +79,9 @@ def p9_segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "p4_found": p4_found,
+    "p4_files": p4_files,
+    "p4_layout": p4_layout,
     "p5_found": p5_found,
     "p5_pieces": p5_pieces,
     "p6_found": p6_found,
