@@ -39,7 +39,7 @@ class Thresholds:
     data_names: float = 0.06  # share of names outside literals at most ...
     data_size: int = 250  # ... in a text of at least so many characters ...
     data_literals: float = 0.75  # ... of which literals and their punctuation make up at least ...
-    data_words: int = 12  # ... with so many words outside literals at most
+    data_words: int = 6  # ... with so many words outside literals at most
     numbered: float = 0.30  # share of lines that repeat but for their numbers at least ...
     numbered_lines: int = 12  # ... in at least so many lines
 
@@ -49,8 +49,8 @@ THRESHOLDS = {
     "python": Thresholds(minified_space=0.06, numbered_lines=9),
     "javascript": Thresholds(),
     "typescript": Thresholds(),
-    "java": Thresholds(minified_space=0.08, data_names=0.15, data_words=20, numbered_lines=9),
-    "go": Thresholds(minified_space=0.08, data_names=0.10, data_words=14),
+    "java": Thresholds(minified_space=0.08, data_names=0.15, data_words=14, numbered_lines=9),
+    "go": Thresholds(minified_space=0.08, data_names=0.10, data_words=10),
 }
 #: Code shorter than this is too common to show a copy.
 COPY_SIZE = 250

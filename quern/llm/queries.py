@@ -5,10 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import encoding, handwritten, language, leakage, splitting, syntax
+from quern.llm import encoding, handwritten, language, leakage, secrets, splitting, syntax
 from quern.tables import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return p1_secrets(spark, d).select("file_id", "line_no")
+
+
+def p1_secrets(spark: SparkSession, d: str) -> DataFrame:
+    files = table(spark, d, "file_inputs")
+    return secrets.secrets(files, secrets.train(files))
+
+
+def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
+    files = table(spark, d, "file_inputs")
+    return secrets.redacted(files, secrets.train(files))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return handwritten.not_handwritten(table(spark, d, "file_inputs")).select("file_id")
 
@@ -79,6 +93,9 @@ def p9_segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_secrets": p1_secrets,
+    "p1_redacted": p1_redacted,
     "p4_found": p4_found,
     "p4_files": p4_files,
     "p4_layout": p4_layout,
