@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import encoding, handwritten, language, leakage, secrets, splitting, syntax
+from quern.llm import encoding, handwritten, language, leakage, scans, secrets, splitting, syntax
 from quern.tables import table
 
 
@@ -23,6 +23,34 @@ def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
     return secrets.redacted(files, secrets.train(files))
 
 
+def _scanned(spark: SparkSession, d: str) -> DataFrame:
+    """All pages: a document's type is not always right, so clean documents are examined like the scanned ones."""
+    return table(spark, d, "page_infos", "page_id", "doc_id", "page_number", "content")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    pages = _scanned(spark, d)
+    return scans.defects(pages, scans.train(pages))
+
+
+def p2_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    pages = _scanned(spark, d)
+    return scans.paragraphs(pages, scans.train(pages))
+
+
+def p2_types(spark: SparkSession, d: str) -> DataFrame:
+    """Pages and defects by the documents' type, which shows documents whose type is wrong."""
+    found = p2_found(spark, d).groupBy("page_id").agg(F.count(F.lit(1)).alias("n"))
+    docs = table(spark, d, "documents", "doc_id", F.lower("document_type").alias("document_type"))
+    return (
+        table(spark, d, "page_infos", "page_id", "doc_id")
+        .join(found, "page_id", "left")
+        .join(docs, "doc_id", "left")
+        .groupBy("document_type")
+        .agg(F.count(F.lit(1)).alias("n_pages"), F.count("n").alias("n_defective"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_defects"))
+    )
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return handwritten.not_handwritten(table(spark, d, "file_inputs")).select("file_id")
 
@@ -96,6 +124,9 @@ QUERIES = {
     "p1_found": p1_found,
     "p1_secrets": p1_secrets,
     "p1_redacted": p1_redacted,
+    "p2_found": p2_found,
+    "p2_paragraphs": p2_paragraphs,
+    "p2_types": p2_types,
     "p4_found": p4_found,
     "p4_files": p4_files,
     "p4_layout": p4_layout,
