@@ -35,7 +35,10 @@ class Thresholds:
 
     minified_line: int = 240  # longest line of code without the insides of strings ...
     minified_space: float = 0.10  # ... and its share of white space at most
-    minified_share: float = 0.25  # ... and the share of such lines in the code at least
+    minified_share: float = 0.25  # ... and the share of such lines in the code at least,
+    tight_space: float = 0.07  # or white space of all code lines at most ...
+    tight_line: float = 45.0  # ... at a mean length of at least ...
+    tight_size: int = 300  # ... in so much code at least
     data_names: float = 0.06  # share of names outside literals at most ...
     data_size: int = 250  # ... in a text of at least so many characters ...
     data_literals: float = 0.75  # ... of which literals and their punctuation make up at least ...
@@ -98,6 +101,7 @@ class Layout:
     words: int
     literals: float
     minified: float
+    tight: bool
     numbered: float
     lines: int
     head: str
@@ -130,13 +134,15 @@ def layout(text: str, lang: str, limits: Thresholds) -> Layout:
     figures = _NUMBER.findall(bare)
     solid = max(1, len(code) + literal)
     dense = sum(len(x) for x in lines if len(x) >= limits.minified_line and len(_GAPS.findall(x)) / len(x) <= limits.minified_space and len(_NAME.findall(x)) * 12 >= len(x))
+    joined = "".join(lines)
+    tight = len(joined) >= limits.tight_size and len(joined) >= limits.tight_line * len(lines) and len(_GAPS.findall(joined)) <= limits.tight_space * len(joined) and 12 * len(names) >= len(joined)
     forms: dict[str, set[str]] = {}
     count: dict[str, int] = {}
     for x in lines:
         k = _DIGITS.sub("0", x)
         forms.setdefault(k, set()).add(x)
         count[k] = count.get(k, 0) + 1
-    numbered = sum(count[k] for k, v in forms.items() if len(v) >= 4 and any(c.isalpha() for c in k))
+    numbered = sum(count[k] for k, v in forms.items() if len(v) >= 3 and any(c.isalpha() for c in k))
     return Layout(
         max_line=max(map(len, text.split("\n"))),
         mean_line=n / (text.count("\n") + 1),
@@ -147,7 +153,8 @@ def layout(text: str, lang: str, limits: Thresholds) -> Layout:
         names=sum(map(len, names)) / solid,
         words=len(names),
         literals=(literal + sum(map(len, figures)) + sum(map(bare.count, "[]{},:;()=-"))) / solid,
-        minified=dense / max(1, sum(map(len, lines))),
+        minified=dense / max(1, len(joined)),
+        tight=tight,
         numbered=numbered / max(1, len(lines)),
         lines=len(lines),
         head=head,
@@ -159,7 +166,7 @@ def reason(text: str, lang: str, s: Layout, limits: Thresholds) -> str | None:
     """Why a text is not hand-written, as far as it shows itself."""
     if _GENERATED.search(s.head):
         return "generated"
-    if s.minified >= limits.minified_share:
+    if s.minified >= limits.minified_share or s.tight:
         return "minified"
     if len(text) >= limits.data_size and not _JSON.match(text) and s.names <= limits.data_names and s.words <= limits.data_words and s.literals >= limits.data_literals:
         return "data"

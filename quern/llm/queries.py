@@ -145,4 +145,17 @@ QUERIES = {
     "p9_segments": p9_segments,
 }
 
-SQL: dict[str, str] = {}
+_UUID = "lower(replace(replace(replace({c}, '{{', ''), '}}', ''), '-', ''))"
+#: A cut stands inside a word: no white space on either side, and the run around it is not longer than a piece.
+_INSIDE = """({p} > 0 AND {p} < n AND NOT regexp_matches(substr(text, CAST({p} AS BIGINT), 1), '[ \\t\\r\\n]') AND NOT regexp_matches(substr(text, CAST({p} AS BIGINT) + 1, 1), '[ \\t\\r\\n]')
+  AND length(regexp_extract(substr(text, greatest(1, {p} - 2000), least({p}, 2001)), '[^ \\t\\r\\n]*$')) + length(regexp_extract(substr(text, CAST({p} AS BIGINT) + 1, 2001), '^[^ \\t\\r\\n]*')) <= 2000)"""
+
+SQL: dict[str, str] = {
+    "p5_found": f"""WITH d AS (SELECT doc_id, {_UUID.format(c="id")} AS k, text, length(text) AS n FROM documents WHERE ceil(length(text) / 4) > 500),
+c AS (SELECT DISTINCT {_UUID.format(c="document_id")} AS k, chunk_index AS i, start_offset AS s, end_offset AS e FROM document_chunks),
+j AS (SELECT d.doc_id, d.n, d.text, c.i, c.s, c.e, row_number() OVER w - 1 AS r, count(*) OVER (PARTITION BY d.doc_id) AS m, lag(c.s) OVER w AS ps, lag(c.e) OVER w AS pe
+  FROM d JOIN c ON d.k = c.k WINDOW w AS (PARTITION BY d.doc_id ORDER BY c.i, c.s, c.e)),
+bad AS (SELECT DISTINCT doc_id FROM j WHERE i IS NULL OR s IS NULL OR e IS NULL OR i <> r OR (r = 0 AND s <> 0) OR (r = m - 1 AND e <> n) OR s < 0 OR e > n OR e <= s OR e - s > 2000
+  OR (r > 0 AND (s <= ps OR e <= pe OR s >= pe OR pe - s > 200)) OR {_INSIDE.format(p="s")} OR {_INSIDE.format(p="e")})
+SELECT doc_id FROM d WHERE doc_id IN (SELECT doc_id FROM bad) OR k NOT IN (SELECT k FROM c WHERE k IS NOT NULL)""",
+}
