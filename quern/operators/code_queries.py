@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from quern.operators import codegraph as C
 from quern.operators import graph as G
-from quern.tables import table
+from quern.tables import spread, table
 
 
 def _files(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "file_inputs", "repository", "path", "content")
+    return spread(table(spark, d, "file_inputs", "repository", "path", "content"))
 
 
 def code_entities(spark: SparkSession, d: str) -> DataFrame:

@@ -3,7 +3,8 @@
 Nodes are (id, label, ...), edges (src, dst, type). Traversals expand a frontier level by level for all
 start nodes at once: a level is one equi-join with the edges followed by a fold to one row per start and
 node, so hubs cost their degree once and cycles end at nodes already seen. Depth is the least number of
-hops. Every second level is cut off through the checkpoint folder, so no level is computed twice.
+hops. The edges and each level go through the checkpoint folder, so none is computed twice,
+and the search ends with the first empty level.
 """
 
 from __future__ import annotations
@@ -43,9 +44,9 @@ def direct(starts: DataFrame, edges: DataFrame, types: Sequence[str] = DEPENDENC
     return hit.groupBy("start", F.col("dst").alias("node")).agg(F.min_by("type", _order(types)).alias("type"))
 
 
-def reach(starts: DataFrame, edges: DataFrame, types: Sequence[str] = DEPENDENCY_TYPES, depth: int = MAX_HOPS, checkpoint_every: int = 2) -> DataFrame:
+def reach(starts: DataFrame, edges: DataFrame, types: Sequence[str] = DEPENDENCY_TYPES, depth: int = MAX_HOPS) -> DataFrame:
     """(start, node, depth): nodes within ``depth`` hops of each start, with the least depth; the start itself is left out."""
-    links = _of_types(edges, types).select("src", "dst").distinct()
+    links = checkpointed(_of_types(edges, types).select("src", "dst").distinct())
     frontier = starts.select(F.col("id").alias("start"), F.col("id").alias("node")).distinct()
     seen = frontier
     out = None
@@ -56,8 +57,9 @@ def reach(starts: DataFrame, edges: DataFrame, types: Sequence[str] = DEPENDENCY
             .distinct()
             .join(seen, ["start", "node"], "left_anti")
         )
-        if level % checkpoint_every == 0:
-            step = checkpointed(step)
+        step = checkpointed(step)
+        if out is not None and step.isEmpty():
+            break
         found = step.withColumn("depth", F.lit(level))
         out = found if out is None else out.unionByName(found)
         seen = seen.unionByName(step)
@@ -111,7 +113,7 @@ def shortest_paths(starts: DataFrame, targets: DataFrame, edges: DataFrame, max_
 
     Per start and node only the least path of a level goes on.
     """
-    links = edges.groupBy("src", "dst").agg(F.min("type").alias("type"))
+    links = checkpointed(edges.groupBy("src", "dst").agg(F.min("type").alias("type")))
     wanted = targets.select(F.col("id").alias("target")).distinct()
     none = F.array().cast("array<string>")
     frontier = starts.select(F.col("id").alias("start"), F.col("id").alias("node"), F.array("id").alias("path"), none.alias("types")).distinct()
@@ -127,8 +129,9 @@ def shortest_paths(starts: DataFrame, targets: DataFrame, edges: DataFrame, max_
             .agg(F.min(F.struct(F.concat("path", F.array("node")).alias("path"), F.concat("types", F.array("type")).alias("types"))).alias("best"))
             .select("start", "node", "best.path", "best.types")
         )
-        if level % 2 == 0:
-            step = checkpointed(step)
+        step = checkpointed(step)
+        if step.isEmpty():
+            break
         reached = reached.unionByName(step)
         seen = seen.unionByName(step.select("start", "node"))
         frontier = step

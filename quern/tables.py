@@ -9,3 +9,13 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     """One input table, narrowed to ``columns`` when given (the names reach the Parquet ReadSchema)."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over all cores where the scan gives less than half as many partitions as there are cores.
+
+    Small inputs in one file have few; work that costs much more than a row's transfer gains by a shuffle
+    then. Inputs of any size have more partitions than cores and are left as they are. Select the columns first.
+    """
+    want = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(want) if 2 * df._jdf.queryExecution().toRdd().getNumPartitions() <= want else df
