@@ -6,7 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import encoding, handwritten, language, leakage, scans, secrets, splitting, syntax
-from quern.tables import table
+from quern.tables import spread, table
+
+
+def _files(spark: SparkSession, d: str) -> DataFrame:
+    return spread(table(spark, d, "file_inputs", "file_id", "repository", "path", "content"))
+
+
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    return spread(table(spark, d, "documents", "doc_id", "text"))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -14,13 +22,13 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_secrets(spark: SparkSession, d: str) -> DataFrame:
-    files = table(spark, d, "file_inputs")
-    return secrets.secrets(files, secrets.train(files))
+    files = _files(spark, d)
+    return secrets.secrets(files, secrets.train(table(spark, d, "file_inputs")))
 
 
 def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
-    files = table(spark, d, "file_inputs")
-    return secrets.redacted(files, secrets.train(files))
+    files = _files(spark, d)
+    return secrets.redacted(files, secrets.train(table(spark, d, "file_inputs")))
 
 
 def _scanned(spark: SparkSession, d: str) -> DataFrame:
@@ -52,16 +60,16 @@ def p2_types(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return handwritten.not_handwritten(table(spark, d, "file_inputs")).select("file_id")
+    return handwritten.not_handwritten(_files(spark, d)).select("file_id")
 
 
 def p4_files(spark: SparkSession, d: str) -> DataFrame:
-    return handwritten.not_handwritten(table(spark, d, "file_inputs"))
+    return handwritten.not_handwritten(_files(spark, d))
 
 
 def p4_layout(spark: SparkSession, d: str) -> DataFrame:
     """The layout statistics of every file with a code extension."""
-    return handwritten.described(table(spark, d, "file_inputs")).drop("code_hash")
+    return handwritten.described(_files(spark, d)).drop("code_hash")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -69,31 +77,31 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
-    return splitting.pieces(table(spark, d, "documents"))
+    return splitting.pieces(_texts(spark, d))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return syntax.broken_files(table(spark, d, "file_inputs")).select("file_id")
+    return syntax.broken_files(_files(spark, d)).select("file_id")
 
 
 def p6_files(spark: SparkSession, d: str) -> DataFrame:
-    return syntax.broken_files(table(spark, d, "file_inputs"))
+    return syntax.broken_files(_files(spark, d))
 
 
 def p6_rates(spark: SparkSession, d: str) -> DataFrame:
-    return syntax.broken_rates(table(spark, d, "file_inputs"))
+    return syntax.broken_rates(_files(spark, d))
 
 
 def p6_log(spark: SparkSession, d: str) -> DataFrame:
-    return syntax.log_agreement(table(spark, d, "file_inputs"), table(spark, d, "ingestion_errors"))
+    return syntax.log_agreement(_files(spark, d), table(spark, d, "ingestion_errors"))
 
 
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
-    return encoding.encode_corpus(table(spark, d, "documents"))
+    return encoding.encode_corpus(_texts(spark, d))
 
 
 def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
-    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return leakage.leaks(_texts(spark, d), table(spark, d, "eval_items"))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
@@ -106,18 +114,18 @@ def p8_items(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    return language.wrong_labels(docs, language.train(docs))
+    docs = table(spark, d, "documents", "doc_id", "text", "lang")
+    return language.wrong_labels(spread(docs), language.train(docs))
 
 
 def p9_documents(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    return language.document_languages(docs, language.train(docs))
+    docs = table(spark, d, "documents", "doc_id", "text", "lang")
+    return language.document_languages(spread(docs), language.train(docs))
 
 
 def p9_segments(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    return language.segments(docs, language.train(docs))
+    docs = table(spark, d, "documents", "doc_id", "text", "lang")
+    return language.segments(spread(docs), language.train(docs))
 
 
 QUERIES = {
