@@ -224,3 +224,16 @@ def elapsed(ms: Column) -> Column:
 
 def backoff_ms(attempt: Column, initial: int = 1000, factor: float = 2.0, most: int = 60_000) -> Column:
     return F.least(F.lit(float(initial)) * F.pow(F.lit(factor), attempt), F.lit(float(most))).cast("long")
+
+
+def pdf_date(c: Column) -> Column:
+    """A PDF date ``D:YYYYMMDDHHmmSS+hh'mm'`` as a UTC timestamp; parts from the month on may be missing, null if it is none."""
+    part = lambda i, default: F.coalesce(F.nullif(F.regexp_extract(c, _PDF_DATE, i), F.lit("")), F.lit(default))
+    local = F.try_to_timestamp(
+        F.concat(F.regexp_extract(c, _PDF_DATE, 1), F.lit("-"), part(2, "01"), F.lit("-"), part(3, "01"), F.lit(" "), part(4, "00"), F.lit(":"), part(5, "00"), F.lit(":"), part(6, "00"))
+    )
+    shift = (part(8, "0").cast("int") * 60 + part(9, "0").cast("int")) * F.when(part(7, "Z") == "-", 1).when(part(7, "Z") == "+", -1).otherwise(0)
+    return F.when(c.rlike(_PDF_DATE), F.timestamp_add("MINUTE", shift, local))
+
+
+_PDF_DATE = r"^(?:D:)?(\d{4})(\d{2})?(\d{2})?(\d{2})?(\d{2})?(\d{2})?(?:([Zz+-])(?:(\d{2})'?(?:(\d{2})'?)?)?)?$"

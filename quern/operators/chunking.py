@@ -216,3 +216,11 @@ def by_pages(pages: DataFrame, max_tokens: int = MAX_TOKENS, overlap: int = OVER
     before = F.sum("_n").over(Window.partitionBy("doc_id").orderBy("page_number").rowsBetween(Window.unboundedPreceding, -1))
     starts = per_page.select("doc_id", "page_number", F.coalesce(before, F.lit(0)).alias("_before"))
     return cut.join(starts, ["doc_id", "page_number"]).withColumn("chunk_index", (F.col("chunk_index") + F.col("_before")).cast("int")).drop("_before")
+
+
+def ocr_summary(pages: DataFrame) -> DataFrame:
+    """(doc_id, confidence, n_pages, n_skipped): mean confidence over the pages (doc_id, confidence, skipped) that were read."""
+    read = ~F.coalesce("skipped", F.lit(False))
+    return pages.groupBy("doc_id").agg(
+        F.round(F.avg(F.when(read, F.col("confidence"))), 2).alias("confidence"), F.count(F.lit(1)).alias("n_pages"), F.count_if(~read).alias("n_skipped")
+    )
