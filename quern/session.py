@@ -17,6 +17,7 @@ def session(app: str = "quern", master: str | None = None, **conf: str) -> Spark
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.ui.enabled": "false",
     } | conf
     for k, v in settings.items():
