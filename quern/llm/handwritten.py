@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.sources import language
+from quern.session import checkpointed
 
 
 @dataclass(frozen=True)
@@ -203,10 +204,11 @@ def described(files: DataFrame) -> DataFrame:
 def not_handwritten(files: DataFrame) -> DataFrame:
     """(file_id, repository, path, reason) and statistics of every file that no one wrote by hand there.
 
-    The hashes are folded per code before the shuffle (least and greatest repository), and only codes that
+    The descriptions, small rows, go through the checkpoint folder, so texts are read and described once.
+    Hashes are folded per code before the shuffle (least and greatest repository), and only codes that
     stand in two repositories are joined back, so a code that a third of all files share stays one row.
     """
-    all_files = described(files)
+    all_files = checkpointed(described(files))
     copied = (
         all_files.where(F.col("code_hash").isNotNull() & F.col("repository").isNotNull())
         .groupBy("code_hash")
