@@ -50,13 +50,13 @@ class Boundaries:
         for m in _GAP.finditer(text):
             a, b = m.span()
             self.gaps.append((a, b))
-            if 0 < a and b < self.n:
+            if b < self.n:
                 gap = m.group()
                 self.at[WORD].append(b)
                 newline = "\n" in gap
                 if newline:
                     self.at[LINE].append(b)
-                if text[a - 1] in ".!?:;":
+                if a and text[a - 1] in ".!?:;":
                     self.at[SENTENCE].append(b)
                 if newline and _PARAGRAPH.search(gap):
                     self.at[PARAGRAPH].append(b)
@@ -96,13 +96,14 @@ def split(text: str, max_tokens: int = MAX_TOKENS, overlap: int = OVERLAP_TOKENS
 
     def end_of(s: int) -> tuple[int, str] | None:
         high = reach(s)
-        middle = max(done, s + (high - s) // 2)
+        least = max(done, s + 1)  # the next piece must start behind s and before this end
+        middle = max(least, s + (high - s) // 2)
         for kind in (PARAGRAPH, SENTENCE, LINE):
             if (p := b.last(kind, middle, high)) is not None:
                 return p, kind
-        if (p := b.last(WORD, done, high)) is not None:
+        if (p := b.last(WORD, least, high)) is not None:
             return p, WORD
-        return (high, WORD) if high > done and high > 1 and text[high - 1] in " \t\r\n" else None
+        return (high, WORD) if high > least and text[high - 1] in " \t\r\n" else None
 
     while reach(start) < n:
         found = end_of(start)

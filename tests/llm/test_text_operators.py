@@ -31,7 +31,7 @@ def proper(text, cut, limit=2000, back=200):
     return True
 
 
-@settings(max_examples=120, deadline=None)
+@settings(max_examples=400, deadline=None)
 @given(st.lists(st.sampled_from(["a", "word", "x" * 40, "y" * 300, "z" * 1500, "q" * 5000, " ", "\n", "\n\n", ". ", " " * 900, "😀é"]), min_size=20, max_size=120))
 def test_split_is_a_proper_cutting(parts):
     text = "".join(parts)
