@@ -30,17 +30,20 @@ def snapshot_diff(prior: DataFrame, current: DataFrame, keys: list[str], paranoi
 
 
 def correlate_renames(unlinks: DataFrame, adds: DataFrame, keys: list[str], window_ms: int) -> DataFrame:
-    """(unlink_id, add_id, confidence): one-to-one pairs of an unlink and the first later add of the same key in the window.
+    """(unlink_id, add_id, confidence): one-to-one pairs of an unlink and a later add of the same key in the window.
 
-    Both are (id, keys, ts, size). Of an interleaving of unlinks and adds each add takes the unlink that
-    directly precedes it among those still open: events of a key are ordered, and an add pairs with the
-    unlink before it if nothing lies between. Unpaired unlinks are deletions, unpaired adds new files.
+    Both are (id, keys, ts, size). Each add takes the latest unlink of its key that is still open, like a
+    closing bracket its opening one: the level of an unlink is the number of unlinks less that of adds up to
+    it, that of an add the one just before it, and on a level the two alternate. If the latest open unlink is
+    out of the window, so are all before it. Unpaired unlinks are deletions, unpaired adds new files.
     """
     cols = [*keys, "ts", "size"]
     both = unlinks.select(F.col("id"), *cols, F.lit(0).alias("_kind")).unionByName(adds.select(F.col("id"), *cols, F.lit(1).alias("_kind")))
-    w = Window.partitionBy(*keys).orderBy("ts", "_kind", "id")
+    order = ("ts", "_kind", "id")
+    open_after = F.sum(1 - 2 * F.col("_kind")).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    w = Window.partitionBy(*keys, "_level").orderBy(*order)
     prev = lambda c: F.lag(c).over(w)
-    lagged = both.select("*", prev("_kind").alias("_pk"), prev("id").alias("_pid"), prev("ts").alias("_pts"), prev("size").alias("_psize"))
+    lagged = both.withColumn("_level", open_after + F.col("_kind")).select("*", prev("_kind").alias("_pk"), prev("id").alias("_pid"), prev("ts").alias("_pts"), prev("size").alias("_psize"))
     gap = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("_pts").cast("timestamp"))) / 1000
     return lagged.where((F.col("_kind") == 1) & (F.col("_pk") == 0) & (gap <= window_ms)).select(
         F.col("_pid").alias("unlink_id"), F.col("id").alias("add_id"), rename_confidence(F.col("_psize"), F.col("size")).alias("confidence")
