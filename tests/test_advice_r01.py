@@ -3,6 +3,7 @@
 import random
 from datetime import datetime, timedelta
 
+from quern.llm import scans
 from quern.operators import maintenance as M
 
 
@@ -21,3 +22,24 @@ def test_renames_take_the_latest_open_unlink(spark):
     df = spark.createDataFrame(events, "id long, key string, ts timestamp_ntz, size long, kind string")
     got = M.correlate_renames(df.where("kind = 'unlink'"), df.where("kind = 'add'"), ["key"], 120_000)
     assert {(r.unlink_id, r.add_id) for r in got.collect()} == want and {(1001, 1002), (1000, 1003)} <= want
+
+
+def test_rare_words_of_a_large_table_decide(spark):
+    bulk = "reading the manual before every release keeps a stable process " * 40
+    texts = [bulk] * 20 + ["the operations stop\n"] * 16 + ["the 0perations stop\n", "a side-car\n", "a side-\ncar", "bo1t bolt\n", *["bo1t bolt\n"] * 4]
+    pages = spark.createDataFrame([(i, i, 1, t) for i, t in enumerate(texts)] + [(None, 99, 1, "the 0perations stop\n")], "page_id long, doc_id long, page_number int, content string")
+    editor = scans.train(pages, share=0.01)
+    assert "operations" not in editor.counts and "side-car" not in editor.counts
+    found = {(r.page_id, r.line_no, r.defect) for r in scans.defects(pages, editor).collect()}
+    assert {(36, 1, "misread"), (None, 1, "misread")} <= found
+    assert not {p for p, _, d in found if d == "misread"} & set(range(39, 44))  # bolt is not far more frequent than bo1t
+    whole = scans.Editor({r.word: r.n for r in editor.words.collect()})
+    whole.letters, whole.lines = editor.letters, editor.lines
+    words = ["operations", "0perations", "bo1t", "rnanual", "sidecar", "unheard"]
+    got = {r.word: r.fixed for r in scans.repairs(spark.createDataFrame([(w,) for w in words], "word string"), editor).collect()}
+    assert got == {w: f for w in words if (f := whole.repair(w))} and got["0perations"] == "operations"
+    breaks = [("side", "car", "-"), ("re", "lease", "-"), ("oper", "ations", "-"), ("0per", "ations", "-"), ("side", "", "-"), ("the", "", "-")]
+    words = {x for a, b, _ in breaks for x in (a, b, a + b)}
+    fixed = scans.repairs(spark.createDataFrame([(w,) for w in words], "word string"), editor)
+    joined = scans.joins(spark.createDataFrame(breaks, "a string, b string, sign string"), fixed, editor)
+    assert {tuple(r) for r in joined.collect()} == {x for x in breaks if whole.join(*x)}
