@@ -3,7 +3,7 @@
 import random
 from datetime import datetime, timedelta
 
-from quern.llm import scans
+from quern.llm import scans, secrets
 from quern.operators import maintenance as M
 
 
@@ -43,3 +43,18 @@ def test_rare_words_of_a_large_table_decide(spark):
     fixed = scans.repairs(spark.createDataFrame([(w,) for w in words], "word string"), editor)
     joined = scans.joins(spark.createDataFrame(breaks, "a string, b string, sign string"), fixed, editor)
     assert {tuple(r) for r in joined.collect()} == {x for x in breaks if whole.join(*x)}
+
+
+def test_long_and_spaced_values_are_candidates():
+    rng = random.Random(8)
+    token = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(n))
+    rows = [(f"src/a{i}.js", f'const apiKey{i} = "{token(32)}";\nconst label = "chunk-name";\nconst password = "changeme";\n// run with --password {token(12)}!\n') for i in range(150)]
+    rows += [(f"conf/{i}.env", f"DB_PASSWORD={token(14)}#1\nDATABASE_URL=postgres://app:{token(14)}@db.example/x\nPORT=80{i}\n") for i in range(150)]
+    model = secrets.fit(rows)
+    jwt = f"eyJ{token(30)}.{token(300)}.{token(342)}"
+    text = f'const authToken = "{jwt}";\nconst dsn = "host=db user=x password={token(14)} port=1";\nconst passphrase = "{token(7)} {token(9)} {token(8)}";\nconst note = "host=db user=x";\n// {token(90)}\n'
+    assert [(c.line, len(c.value)) for c in secrets.candidates(text, "x.js")] == [(1, len(jwt)), (2, 14), (3, 26), (5, 90)]
+    found = secrets.found_in(text, "x.js", model)
+    assert {1, 2} <= {c.line for c, _ in found}
+    masked = secrets.mask(text, [s for c, _ in found for s in c.spans])
+    assert len(masked) == len(text) and jwt not in masked and "host=db user=x password=XXXXXXXXXXXXXX port=1" in masked
