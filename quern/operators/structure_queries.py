@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quern.functions import text as T
 from quern.operators import chunking as C
 from quern.operators import markdown as M
+from quern.operators.orphans import uuid_key
 from quern.tables import table
 
 
@@ -25,7 +26,9 @@ def chunk_pages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _markdown(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents", "doc_id", "text", "document_type", "source", "file_path").where(F.lower("document_type") == "markdown")
+    """Documents of that type or with such a file's extension: a document's type is not always right."""
+    docs = table(spark, d, "documents", "doc_id", "text", "document_type", "source", "file_path")
+    return docs.where((F.lower("document_type") == "markdown") | T.extension(F.col("file_path")).isin(".md", ".markdown"))
 
 
 def markdown_sections(spark: SparkSession, d: str) -> DataFrame:
@@ -59,8 +62,8 @@ def chunk_headings(spark: SparkSession, d: str) -> DataFrame:
     """Stored pieces with the heading that stands before their start: the as-of join."""
     docs = _markdown(spark, d)
     chunks = table(spark, d, "document_chunks", "id", "document_id", "start_offset")
-    ids = table(spark, d, "documents", "doc_id", F.col("id").alias("document_id"))
-    at = chunks.join(ids, "document_id").join(docs.select("doc_id"), "doc_id", "left_semi").select("doc_id", F.col("start_offset").alias("offset"), F.col("id").alias("chunk_id")).distinct()
+    ids = table(spark, d, "documents", "doc_id", uuid_key(F.col("id")).alias("_key"))
+    at = chunks.withColumn("_key", uuid_key(F.col("document_id"))).join(ids, "_key").join(docs.select("doc_id"), "doc_id", "left_semi").select("doc_id", F.col("start_offset").alias("offset"), F.col("id").alias("chunk_id")).distinct()
     return M.nearest_heading(at, M.sections(docs))
 
 

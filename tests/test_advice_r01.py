@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 
 from quern.llm import scans, secrets
 from quern.operators import maintenance as M
+from quern.operators import structure_queries
 
 
 def test_renames_take_the_latest_open_unlink(spark):
@@ -58,3 +59,12 @@ def test_long_and_spaced_values_are_candidates():
     assert {1, 2} <= {c.line for c, _ in found}
     masked = secrets.mask(text, [s for c, _ in found for s in c.spans])
     assert len(masked) == len(text) and jwt not in masked and "host=db user=x password=XXXXXXXXXXXXXX port=1" in masked
+
+
+def test_pieces_meet_documents_by_uuid_and_markdown_by_extension(spark, tmp_path):
+    key = "0a1b2c3d-0000-4000-8000-00000000000{}"
+    docs = [(1, key.format(1), "# One\n\ntext\n", "markdown", "s", "a.md"), (2, key.format(2), "# Two\n\ntext\n", None, "s", "b.MD"), (3, key.format(3), "# Three\n\ntext\n", "pdf", "s", "c.pdf"), (4, key.format(4), None, None, "s", None)]
+    spark.createDataFrame(docs, "doc_id long, id string, text string, document_type string, source string, file_path string").write.parquet(f"{tmp_path}/documents.parquet")
+    chunks = [(f"c{i}", k, 8) for i, k in enumerate((key.format(1), "{" + key.format(1).upper() + "}", key.format(2).replace("-", ""), key.format(3), key.format(4)))]
+    spark.createDataFrame(chunks, "id string, document_id string, start_offset int").write.parquet(f"{tmp_path}/document_chunks.parquet")
+    assert {(r.doc_id, r.chunk_id) for r in structure_queries.chunk_headings(spark, str(tmp_path)).collect()} == {(1, "c0"), (1, "c1"), (2, "c2")}
