@@ -44,6 +44,12 @@ class Thresholds:
     data_size: int = 250  # ... in a text of at least so many characters ...
     data_literals: float = 0.75  # ... of which literals and their punctuation make up at least ...
     data_words: int = 6  # ... with so many words outside literals at most
+    encoded_run: int = 72  # or an encoded run of at least so many characters (lines of a key in text have 64) ...
+    encoded_share: float = 0.60  # ... in a text of which such runs make up at least ...
+    encoded_alnum: float = 0.70  # ... and letters and digits at least
+    dense_numbers: float = 0.75  # or numbers among names and numbers at least ...
+    dense_literals: float = 0.75  # ... with literals and their punctuation at least ...
+    dense_figures: int = 50  # ... and so many numbers at least
     numbered: float = 0.30  # share of lines that repeat but for their numbers at least ...
     numbered_lines: int = 12  # ... in at least so many lines
 
@@ -98,6 +104,8 @@ class Layout:
     alnum: float
     numbers: float
     encoded: int
+    encoded_share: float
+    figures: int
     names: float
     words: int
     literals: float
@@ -117,15 +125,17 @@ def layout(text: str, lang: str, limits: Thresholds) -> Layout:
     head = _HEAD[family].match(text).group()
     literal = 0
     encoded = 0
+    in_runs = 0
 
     def strip(m: re.Match) -> str:
-        nonlocal literal, encoded
+        nonlocal literal, encoded, in_runs
         if m.lastgroup == "comment":
             return ""
         s = m.group()
         literal += len(s)
         for run in _ENCODED.findall(s):
             encoded = max(encoded, len(run))
+            in_runs += len(run)
         return '""'
 
     bare = _COMMENTED[family].sub(strip, text)
@@ -151,6 +161,8 @@ def layout(text: str, lang: str, limits: Thresholds) -> Layout:
         alnum=len(re.findall(r"[^\W_]", text)) / n,
         numbers=len(figures) / max(1, len(figures) + len(names)),
         encoded=encoded,
+        encoded_share=in_runs / solid,
+        figures=len(figures),
         names=sum(map(len, names)) / solid,
         words=len(names),
         literals=(literal + sum(map(len, figures)) + sum(map(bare.count, "[]{},:;()=-"))) / solid,
@@ -169,7 +181,10 @@ def reason(text: str, lang: str, s: Layout, limits: Thresholds) -> str | None:
         return "generated"
     if s.minified >= limits.minified_share or s.tight:
         return "minified"
-    if len(text) >= limits.data_size and not _JSON.match(text) and s.names <= limits.data_names and s.words <= limits.data_words and s.literals >= limits.data_literals:
+    plain = s.names <= limits.data_names and s.words <= limits.data_words and s.literals >= limits.data_literals
+    coded = s.encoded >= limits.encoded_run and s.encoded_share >= limits.encoded_share and s.alnum >= limits.encoded_alnum
+    dense = s.numbers >= limits.dense_numbers and s.literals >= limits.dense_literals and s.figures >= limits.dense_figures
+    if len(text) >= limits.data_size and not _JSON.match(text) and (plain or coded or dense):
         return "data"
     if s.lines >= limits.numbered_lines and s.numbered >= limits.numbered:
         return "generated"

@@ -3,7 +3,7 @@
 import random
 from datetime import datetime, timedelta
 
-from quern.llm import scans, secrets
+from quern.llm import handwritten, scans, secrets
 from quern.operators import maintenance as M
 from quern.operators import structure_queries
 
@@ -68,3 +68,16 @@ def test_pieces_meet_documents_by_uuid_and_markdown_by_extension(spark, tmp_path
     chunks = [(f"c{i}", k, 8) for i, k in enumerate((key.format(1), "{" + key.format(1).upper() + "}", key.format(2).replace("-", ""), key.format(3), key.format(4)))]
     spark.createDataFrame(chunks, "id string, document_id string, start_offset int").write.parquet(f"{tmp_path}/document_chunks.parquet")
     assert {(r.doc_id, r.chunk_id) for r in structure_queries.chunk_headings(spark, str(tmp_path)).collect()} == {(1, "c0"), (1, "c1"), (2, "c2")}
+
+
+def test_blobs_with_many_names_are_data():
+    def why(text, lang):
+        limits = handwritten.THRESHOLDS[lang]
+        return handwritten.reason(text, lang, handwritten.layout(text, lang, limits), limits)
+
+    code = "import base64\nimport zlib\n\n\ndef load():\n    return zlib.decompress(base64.b64decode(DATA))\n\n\n"
+    assert why(code + 'DATA = "' + "Ab3d" * 400 + '"\n', "python") == "data"
+    assert why(code + 'DATA = (\n' + ('    "' + "Ab3d" * 19 + '"\n') * 20 + ")\n", "python") == "data"
+    assert why(code + 'DATA = "' + "Ab3d" * 10 + '"\n', "python") is None
+    rows = "".join(f"  {k}: [{', '.join(str(i * 37 % 9973) for i in range(n, n + 40))}],\n" for n, k in enumerate("alpha beta gamma delta epsilon zeta eta theta iota".split()))
+    assert why(f"export const table = {{\n{rows}}};\n", "typescript") == "data"
