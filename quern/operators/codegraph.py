@@ -150,7 +150,7 @@ def parse_other(text: str, lang: str) -> Code:
             seen.add((name, line))
             end = _block_end(clean, at)
             exported = bool(m.group("x")) if lang in ("javascript", "typescript", "tsx", "jsx", "java", "csharp", "rust") else name[:1].isupper() if lang == "go" else True
-            signature = text[m.start() : text.find("\n", at) if text.find("\n", at) > 0 else len(text)].strip().rstrip("{").strip()[:200]
+            signature = text[m.start() : text.find("\n", at) if text.find("\n", at) > 0 else len(text)].strip().rstrip("{").strip()
             out.entities.append((kind, name, line, line_of(max(at, end - 1)), exported, signature))
             if kind in ("function", "method"):
                 spans.append((at, end, name))
@@ -239,7 +239,7 @@ def parse_python(text: str) -> Code:
             elif isinstance(child, ast.Call):
                 f = child.func
                 name = f.id if isinstance(f, ast.Name) else f.attr if isinstance(f, ast.Attribute) else "[chained]" if isinstance(f, ast.Call) else "[dynamic]"
-                out.calls.append((name, ast.unparse(f)[:200], owner, isinstance(node, ast.Await), child.lineno))
+                out.calls.append((name, ast.unparse(f), owner, isinstance(node, ast.Await), child.lineno))
             walk(child, inside, cls)
 
     walk(tree, "", False)

@@ -4,6 +4,7 @@ import random
 from datetime import datetime, timedelta
 
 from quern.llm import handwritten, scans, secrets
+from quern.operators import codegraph
 from quern.operators import maintenance as M
 from quern.operators import structure_queries
 
@@ -81,3 +82,10 @@ def test_blobs_with_many_names_are_data():
     assert why(code + 'DATA = "' + "Ab3d" * 10 + '"\n', "python") is None
     rows = "".join(f"  {k}: [{', '.join(str(i * 37 % 9973) for i in range(n, n + 40))}],\n" for n, k in enumerate("alpha beta gamma delta epsilon zeta eta theta iota".split()))
     assert why(f"export const table = {{\n{rows}}};\n", "typescript") == "data"
+
+
+def test_long_expressions_and_signatures_stay_whole():
+    chain = "a." + ".".join(f"member{i}" for i in range(60))
+    assert [c[1] for c in codegraph.parse(f"{chain}()\n", "python").calls] == [chain]
+    head = f"function f({', '.join(f'parameter{i}' for i in range(60))})"
+    assert [e[5] for e in codegraph.parse(head + " {\n}\n", "javascript").entities] == [head]
