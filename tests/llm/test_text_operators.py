@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from quern.llm import encoding, handwritten, language, leakage, scans, secrets, splitting, syntax
 
@@ -298,6 +299,33 @@ def test_editor():
     assert e.join("oper", "ations", "-") and e.join("re", "lease", "¬") and not e.join("well", "known", "-") and not e.join("full", "text", "-")
 
 
+def test_operations_are_learned():
+    words = "reading manual release changes settings nightly operations heading repository interface container document".split()
+    counts = {w: 500 for w in words}
+    for w in words:
+        for a, b in (("e", "ξ"), ("n", "ʀʀ")):
+            counts |= {w[:i] + b + w[i + 1 :]: 1 for i, c in enumerate(w) if c == a}
+    found = scans.confusions(counts)
+    assert found["e", "ξ"] >= 8 and found["n", "ʀʀ"] >= 8 and ("c", "ξ") not in found
+    assert scans.edit_of("n", "ri") == (["none", "none"], ["n", "delete"]) and scans.edit_of("rn", "m") == (["r"], ["n"]) and scans.edit_of("fi", "ﬁ") == (["f"], ["i"])
+    e = scans.Editor(counts).fit()
+    assert e.repair("rξlease") == "release" and e.repair("maʀʀual") == "manual"
+
+
+def test_lost_letters_are_inserted():
+    e = editor()
+    words = [w for w in e.trusted if w.isalpha() and len(w) >= 8]
+    lost = [(w[:i] + w[i + 1 :], w) for w in words for i in range(2, len(w) - 2)]
+    assert sum(e.repair(x) == w for x, w in lost) >= 0.4 * len(lost)
+    assert not [w for w in words if e.repair(w)]
+
+
+def test_survey():
+    n, edges, words, breaks = scans.survey("A head   3\n\nsome rnanual with nob-\nody `x-1` a_b2 12 re-", {"some", "with", "head"})
+    assert n == 10 and [(w[0], w[1]) for w in words] == [(3, "rnanual")] and breaks == [(3, "nob", "ody", "-", 4), (4, "re", None, "-", None)]
+    assert [e[0] for e in edges] == [1, 3, 4] and edges[0][5] == 3
+
+
 def test_page_is_repaired():
     e = editor()
     text = "Guide   12\nreading the rnanual before every re-\nlease keeps a well-\nknown process stable while nob-\nody changes `odd_1dent`\n\nimportant settings during nightly oper-"
@@ -319,5 +347,5 @@ def test_furniture(spark):
     rows = [(i, 1, i, f"The Title\n{body * 4}A last line of the page which is long enough to be body text.\n{40 + i}") for i in range(1, 4)]
     rows += [(10 + i, 2, i, f"{body * 4}{777 * i}\n{body}") for i in range(1, 3)] + [(20, 3, 1, None), (21, 3, 2, ""), (22, 4, 1, "only one line")]
     df = spark.createDataFrame(rows, "page_id long, doc_id long, page_number int, content string")
-    got = {(r.page_id, r.line_no, r.defect) for r in scans.furniture(scans.edges(df)).where("defect is not null").collect()}
+    got = {(r.page_id, r.line_no, r.defect) for r in scans.furniture(scans.surveyed(df, set())).where("defect is not null").select("page_id", F.col("line").alias("line_no"), "defect").collect()}
     assert got == {(i, 1, "running_line") for i in (1, 2, 3)} | {(i, 11, "page_number") for i in (1, 2, 3)}
