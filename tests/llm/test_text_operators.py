@@ -349,3 +349,15 @@ def test_furniture(spark):
     df = spark.createDataFrame(rows, "page_id long, doc_id long, page_number int, content string")
     got = {(r.page_id, r.line_no, r.defect) for r in scans.furniture(scans.surveyed(df, set())).where("defect is not null").select("page_id", F.col("line").alias("line_no"), "defect").collect()}
     assert got == {(i, 1, "running_line") for i in (1, 2, 3)} | {(i, 11, "page_number") for i in (1, 2, 3)}
+
+
+def test_compounds_keep_their_hyphen_among_many_words():
+    rng = random.Random(5)
+    syllables = "ba de fi go lu ma ne pi ro su ta vi wo xe zu".split()
+    counts = {"".join(rng.choice(syllables) for _ in range(rng.randint(2, 5))): rng.randint(20, 900) for _ in range(900)}
+    counts |= {"read-only": 60, "well-known": 50, "full-text": 40, "read": 5, "only": 200, "wcll-known": 2, "read-on|y": 2}
+    for seed in range(4):
+        e = scans.Editor(counts).fit(seed)
+        assert not any(e.join(*w.split("-"), "-") for w in ("read-only", "well-known", "full-text"))
+        wholes = [w for w in e.trusted if len(w) >= 8 and w.isalpha()][:50]
+        assert all(e.join(w[:4], w[4:], s) for w in wholes for s in "-¬")
