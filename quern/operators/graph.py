@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quern.operators import maintenance as M
 from quern.session import checkpointed
 
 #: Edge types that make a dependency, in the order that settles ties.
@@ -44,26 +45,45 @@ def direct(starts: DataFrame, edges: DataFrame, types: Sequence[str] = DEPENDENC
     return hit.groupBy("start", F.col("dst").alias("node")).agg(F.min_by("type", _order(types)).alias("type"))
 
 
-def reach(starts: DataFrame, edges: DataFrame, types: Sequence[str] = DEPENDENCY_TYPES, depth: int = MAX_HOPS) -> DataFrame:
-    """(start, node, depth): nodes within ``depth`` hops of each start, with the least depth; the start itself is left out."""
-    links = checkpointed(_of_types(edges, types).select("src", "dst").distinct())
+def _least(df: DataFrame, by: str, what: str, n: int) -> DataFrame:
+    """The n least rows of each group; all but n a group drop out before the shuffle."""
+    return df.withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy(what))).where(F.col("_r") <= n).drop("_r")
+
+
+def reach(starts: DataFrame, edges: DataFrame, types: Sequence[str] | None = DEPENDENCY_TYPES, depth: int = MAX_HOPS, limit: int | None = None) -> DataFrame:
+    """(start, node, depth): nodes within ``depth`` hops of each start, with the least depth; the start itself is left out.
+
+    ``types`` None means all. With ``limit`` only the first nodes of each start by (depth, node) are found,
+    exactly: a start goes no further once it has them, and no node hands on more neighbours than could count,
+    so neither a hub nor a dense neighbourhood is expanded whole.
+    """
+    depth = min(depth, MAX_HOPS)
+    links = (edges if types is None else _of_types(edges, types)).select("src", "dst").distinct()
+    if limit is not None:  # of a node's neighbours, those seen before (limit a level, and the start) and the next ones
+        links = _least(links, "src", "dst", limit * (depth + 1) + 1)
+    links = checkpointed(links) if depth > 1 else links
     frontier = starts.select(F.col("id").alias("start"), F.col("id").alias("node")).distinct()
     seen = frontier
     out = None
-    for level in range(1, min(depth, MAX_HOPS) + 1):
-        step = (
-            frontier.join(links, F.col("node") == F.col("src"))
-            .select("start", F.col("dst").alias("node"))
-            .distinct()
-            .join(seen, ["start", "node"], "left_anti")
-        )
-        step = checkpointed(step)
-        if out is not None and step.isEmpty():
-            break
+    for level in range(1, depth + 1):
+        step = frontier.join(links, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node")).distinct().join(seen, ["start", "node"], "left_anti")
+        if limit is not None:
+            step = _least(step, "start", "node", limit)
+        if level < depth or level == 1:
+            step = checkpointed(step)
+            if out is not None and step.isEmpty():
+                break
         found = step.withColumn("depth", F.lit(level))
         out = found if out is None else out.unionByName(found)
-        seen = seen.unionByName(step)
-        frontier = step
+        if level < depth:
+            seen = seen.unionByName(step)
+            frontier = step
+            if limit is not None:
+                full = out.groupBy("start").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= limit)
+                frontier = step.join(full, "start", "left_anti")
+    if limit is not None:
+        w = Window.partitionBy("start").orderBy("depth", "node")
+        out = out.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= limit).drop("_r")
     return out
 
 
@@ -89,23 +109,37 @@ def both_directions(starts: DataFrame, edges: DataFrame, types: Sequence[str] =
 
 
 def impact(starts: DataFrame, edges: DataFrame, types: Sequence[str] = DEPENDENCY_TYPES, depth: int = MAX_HOPS) -> DataFrame:
-    """(start, n_direct, n_transitive, score): how much depends on each start; score = min(1, n / 100)."""
+    """(start, n_direct, n_transitive, score): how much depends on each given start; score = min(1, n / 100).
+
+    The counts are exact, so every (start, dependent) pair is made once: meant for a set of starts that was
+    chosen. For the scores of all nodes see ``impact_scores``.
+    """
     found = reach(starts, reverse(edges), types, depth)
     counts = found.groupBy("start").agg(F.count_if(F.col("depth") == 1).alias("n_direct"), F.count_if(F.col("depth") > 1).alias("n_transitive"))
     n = F.coalesce("n_direct", F.lit(0)) + F.coalesce("n_transitive", F.lit(0))
     return (
         starts.select(F.col("id").alias("start")).distinct().join(counts, "start", "left")
-        .select("start", F.coalesce("n_direct", F.lit(0)).alias("n_direct"), F.coalesce("n_transitive", F.lit(0)).alias("n_transitive"), F.least(F.lit(1.0), n / 100).alias("score"))
+        .select("start", F.coalesce("n_direct", F.lit(0)).alias("n_direct"), F.coalesce("n_transitive", F.lit(0)).alias("n_transitive"), F.least(F.lit(1.0), n / FULL_IMPACT).alias("score"))
     )
 
 
+#: So many dependents give the score 1.
+FULL_IMPACT = 100
+
+
+def impact_scores(starts: DataFrame, edges: DataFrame, types: Sequence[str] = DEPENDENCY_TYPES, depth: int = MAX_HOPS) -> DataFrame:
+    """(start, n_direct, score) for any number of starts: the score needs ``FULL_IMPACT`` dependents at most, so none is followed further."""
+    links = reverse(_of_types(edges, types))
+    found = reach(starts, links, None, depth, FULL_IMPACT).groupBy("start").agg(F.count(F.lit(1)).alias("_n"))
+    degree = links.where(F.col("src") != F.col("dst")).groupBy(F.col("src").alias("start")).agg(F.countDistinct("dst").alias("n_direct"))
+    s = starts.select(F.col("id").alias("start")).distinct()
+    return s.join(found, "start", "left").join(degree, "start", "left").select("start", F.coalesce("n_direct", F.lit(0)).alias("n_direct"), (F.coalesce("_n", F.lit(0)) / FULL_IMPACT).alias("score"))
+
+
 def traverse(starts: DataFrame, edges: DataFrame, depth: int = 2, limit: int = 100) -> DataFrame:
-    """(start, node, depth): the undirected neighbourhood, at most ``limit`` nodes a start by (depth, id)."""
+    """(start, node, depth): the undirected neighbourhood, at most ``limit`` nodes a start by (depth, id); the limit bounds every level."""
     links = edges.select("src", "dst", "type")
-    types = [r[0] for r in links.select("type").distinct().collect()]
-    found = reach(starts, links.unionByName(reverse(links)), types, depth)
-    w = Window.partitionBy("start").orderBy("depth", "node")
-    return found.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= min(limit, 1000)).drop("_r")
+    return reach(starts, links.unionByName(reverse(links)), None, depth, min(limit, 1000))
 
 
 def shortest_paths(starts: DataFrame, targets: DataFrame, edges: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:
@@ -139,7 +173,9 @@ def shortest_paths(starts: DataFrame, targets: DataFrame, edges: DataFrame, max_
 
 
 def architecture(files: DataFrame, level: str, scope: str | None = None) -> DataFrame:
-    """Files (repository, path) rolled up: ``packages``, ``modules`` or the list of ``files``."""
+    """Files (repository, path) rolled up: ``packages``, ``modules`` or the list of ``files``; for entities see ``entities``."""
+    if level not in ("packages", "modules", "files"):
+        raise ValueError(f"no level {level} of files")
     df = files.where(F.col("path").startswith(scope)) if scope else files
     parts = F.split("path", "/")
     if level == "packages":
@@ -149,6 +185,12 @@ def architecture(files: DataFrame, level: str, scope: str | None = None) -> Data
     return df.select("repository", "path", F.regexp_extract("path", r"[^/]\.([^./]*)$", 1).alias("extension")).distinct()
 
 
+def entities(owners: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, n_entities): what each owner (id) defines, counted; owners without any stay."""
+    n = _of_types(edges, ("DEFINES",)).groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("_n"))
+    return owners.select("id").distinct().join(n, "id", "left").select("id", F.coalesce("_n", F.lit(0)).alias("n_entities"))
+
+
 def architecture_rollup(files: DataFrame) -> DataFrame:
     """All levels at once: totals per repository, package and module; null stands for all."""
     parts = F.split("path", "/")
@@ -188,15 +230,18 @@ def expand_context(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, limit:
     def out_of(types: Sequence[str], context: str) -> DataFrame:
         return s.join(_of_types(edges, types), F.col("seed") == F.col("src")).select("seed", F.col("dst").alias("node"), F.lit(context).alias("context"))
 
-    parents = s.join(up, F.col("seed") == F.col("dst")).select("seed", F.col("src").alias("parent"))
-    siblings = parents.join(up, F.col("parent") == F.col("src")).where(F.col("dst") != F.col("seed")).select("seed", F.col("dst").alias("node"), F.lit("siblings").alias("context"))
+    limit = min(limit, 100)
+    parents = s.join(up, F.col("seed") == F.col("dst")).select("seed", F.col("src").alias("parent")).distinct()
+    # beside the seed itself and nodes of earlier contexts no more than the limit can count of one parent's children
+    children = _least(up.join(parents.select(F.col("parent").alias("src")).distinct(), "src", "left_semi").select("src", "dst").distinct(), "src", "dst", limit + 1)
+    siblings = parents.join(children, F.col("parent") == F.col("src")).where(F.col("dst") != F.col("seed")).select("seed", F.col("dst").alias("node"), F.lit("siblings").alias("context"))
     callers = s.join(_of_types(edges, ("CALLS",)), F.col("seed") == F.col("dst")).select("seed", F.col("src").alias("node"), F.lit("callers").alias("context"))
     docs = out_of(("REFERENCES",), "documentation").join(nodes.where(F.col("extension").isin("md", "txt", "rst")).select(F.col("id").alias("node")), "node", "left_semi")
     union = out_of(("IMPORTS",), "imports").unionByName(callers).unionByName(out_of(("CALLS",), "callees")).unionByName(siblings).unionByName(docs.select("seed", "node", "context"))
     rank = F.array_position(F.lit(list(CONTEXTS)), F.col("context"))
     once = union.groupBy("seed", "node").agg(F.min(F.struct(rank.alias("r"), "context")).alias("c")).select("seed", "node", "c.r", "c.context")
     w = Window.partitionBy("seed").orderBy("r", "node")
-    return once.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= min(limit, 100)).select("seed", "node", "context", F.lit(0.8).alias("relevance"))
+    return once.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= limit).select("seed", "node", "context", F.lit(0.8).alias("relevance"))
 
 
 def counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -217,11 +262,9 @@ def compare(left: tuple[DataFrame, DataFrame], right: tuple[DataFrame, DataFrame
 
 
 def upsert_nodes(nodes: DataFrame, changes: DataFrame) -> DataFrame:
-    """Nodes with changed ones put in place of those with their id; the last of several changes wins by ``_seq`` if there."""
-    if "_seq" in changes.columns:
-        w = Window.partitionBy("id").orderBy(F.desc("_seq"))
-        changes = changes.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r", "_seq")
-    return nodes.join(changes.select("id"), "id", "left_anti").unionByName(changes, allowMissingColumns=True)
+    """Nodes with changed ones put in place of those with their id; of several changes the last by ``_seq`` wins, without one the greatest row."""
+    once = M.fold(changes, ["id"], "_seq" if "_seq" in changes.columns else None).drop("_seq")
+    return nodes.join(once.select("id"), "id", "left_anti").unionByName(once, allowMissingColumns=True)
 
 
 def merge_edges(edges: DataFrame, changes: DataFrame) -> DataFrame:
@@ -236,6 +279,41 @@ def delete_nodes(nodes: DataFrame, edges: DataFrame, gone: DataFrame) -> tuple[D
     return nodes.join(ids, "id", "left_anti"), kept.select(*edges.columns)
 
 
+def delete_edges(edges: DataFrame, gone: DataFrame) -> DataFrame:
+    """Edges without those listed by (src, dst, type)."""
+    return edges.join(gone.select("src", "dst", "type").distinct(), ["src", "dst", "type"], "left_anti").select(*edges.columns)
+
+
+def delete_file(nodes: DataFrame, edges: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The graph without the files (repository, path) and all that lies in them."""
+    return delete_nodes(nodes, edges, nodes.join(files.select("repository", "path").distinct(), ["repository", "path"], "left_semi").select("id"))
+
+
+def replace_files(nodes: DataFrame, edges: DataFrame, files: DataFrame, fresh: tuple[DataFrame, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """The graph after some files (repository, path) were parsed again: what was in them goes, ``fresh`` nodes and edges come in."""
+    n, e = delete_file(nodes, edges, files)
+    return upsert_nodes(n, fresh[0]), merge_edges(e, fresh[1])
+
+
+def removed(before: tuple[DataFrame, DataFrame], after: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """(kind, name, n): how many nodes and edges of each label and type a delete took away."""
+    c = compare(before, after)
+    return c.where(~F.col("same")).select("kind", "name", (F.col("n_left") - F.col("n_right")).alias("n"))
+
+
+def symbol_index(nodes: DataFrame) -> DataFrame:
+    """(repository, name, id, label): each name's first node, functions before classes before modules, then by id."""
+    rank = F.when(F.col("label") == "Function", 0).when(F.col("label") == "Class", 1).when(F.col("label") == "Module", 2)
+    best = F.min(F.struct(rank.alias("r"), "id", "label")).alias("_b")
+    return nodes.where(rank.isNotNull() & F.col("name").isNotNull()).groupBy("repository", "name").agg(best).select("repository", "name", "_b.id", "_b.label")
+
+
+def imported(nodes: DataFrame, edges: DataFrame, source: str) -> tuple[DataFrame, DataFrame]:
+    """A graph of another store: nodes and edges with ids behind its name, so that two stores never meet, and the old id as ``_source_id``."""
+    at = lambda c: F.concat(F.lit(f"{source}:"), F.col(c))
+    return nodes.withColumn("_source_id", F.col("id")).withColumn("id", at("id")), edges.withColumns({"src": at("src"), "dst": at("dst")})
+
+
 def delete_repository(nodes: DataFrame, edges: DataFrame, repository: str) -> tuple[DataFrame, DataFrame]:
     """The graph without a repository; modules go only when no other repository refers to them."""
     mine = nodes.where(F.col("repository") == repository).select("id")

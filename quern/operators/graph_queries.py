@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.text import posix
 from quern.operators import graph as G
-from quern.tables import table
+from quern.tables import spread, table
 
 
 def _id(label: str, c) -> F.Column:
@@ -39,19 +39,21 @@ def nodes(spark: SparkSession, d: str) -> DataFrame:
 
 def edges(spark: SparkSession, d: str, *types: str) -> DataFrame:
     """All edges, or those of some types (other tables are then not read)."""
-    n, li = table(spark, d, "nation"), table(spark, d, "lineitem", "l_orderkey", "l_partkey", "l_suppkey")
+    n = table(spark, d, "nation")
 
-    def link(df: DataFrame, a: tuple[str, str], b: tuple[str, str], kind: str, distinct: bool = False) -> DataFrame:
-        e = df.select(_id(*a).alias("src"), _id(*b).alias("dst"))
-        return (e.distinct() if distinct else e).withColumn("type", F.lit(kind))
+    def link(df: DataFrame, a: tuple[str, str], b: tuple[str, str], kind: str) -> DataFrame:
+        return df.select(_id(*a).alias("src"), _id(*b).alias("dst"), F.lit(kind).alias("type"))
+
+    def lines(a: str, b: str) -> DataFrame:  # numbers are folded, not the names made of them
+        return spread(table(spark, d, "lineitem", a, b)).distinct()
 
     made = {
         "CONTAINS": lambda: link(n, ("Region", "n_regionkey"), ("Nation", "n_nationkey"), "CONTAINS").unionByName(
             link(table(spark, d, "customer"), ("Nation", "c_nationkey"), ("Customer", "c_custkey"), "CONTAINS")
         ),
         "DEFINES": lambda: link(table(spark, d, "orders"), ("Customer", "o_custkey"), ("Order", "o_orderkey"), "DEFINES"),
-        "IMPORTS": lambda: link(li, ("Order", "l_orderkey"), ("Part", "l_partkey"), "IMPORTS", True),
-        "REFERENCES": lambda: link(li, ("Part", "l_partkey"), ("Supplier", "l_suppkey"), "REFERENCES", True),
+        "IMPORTS": lambda: link(lines("l_orderkey", "l_partkey"), ("Order", "l_orderkey"), ("Part", "l_partkey"), "IMPORTS"),
+        "REFERENCES": lambda: link(lines("l_partkey", "l_suppkey"), ("Part", "l_partkey"), ("Supplier", "l_suppkey"), "REFERENCES"),
         "CALLS": lambda: link(table(spark, d, "supplier"), ("Supplier", "s_suppkey"), ("Nation", "s_nationkey"), "CALLS").unionByName(
             link(n, ("Nation", "n_nationkey"), ("Region", "n_regionkey"), "CALLS")
         ),
@@ -120,8 +122,7 @@ def arch_files(spark: SparkSession, d: str) -> DataFrame:
 def arch_entities(spark: SparkSession, d: str) -> DataFrame:
     """Customers with the orders they define, kept without any."""
     c = table(spark, d, "customer", "c_custkey").select(_id("Customer", "c_custkey").alias("id"))
-    e = edges(spark, d, "DEFINES")
-    return c.join(e, c["id"] == e["src"], "left").groupBy("id").agg(F.count("dst").alias("n_entities"))
+    return G.entities(c, edges(spark, d, "DEFINES"))
 
 
 def arch_rollup(spark: SparkSession, d: str) -> DataFrame:

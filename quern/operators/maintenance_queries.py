@@ -69,15 +69,15 @@ def rename_correlation(spark: SparkSession, d: str) -> DataFrame:
 
 
 def change_eligibility(spark: SparkSession, d: str) -> DataFrame:
-    """Files per repository that an update would take: extension included (or defaults), no pattern excludes them."""
-    from quern.functions.text import extension, posix
+    """Files per repository that an update would take: extension among the repository's (the defaults if it names none), no pattern excludes them."""
+    from quern.functions.text import posix
     from quern.plans.predicates import matches_any
+    from quern.sources.files import DEFAULT_EXTENSIONS
 
     repos = table(spark, d, "repositories", "repo_name", "include_extensions", "exclude_patterns")
-    f = table(spark, d, "file_inputs", "file_id", "repository", "path").join(F.broadcast(repos), F.col("repository") == F.col("repo_name"))
-    included = F.when(F.coalesce(F.size("include_extensions"), F.lit(0)) > 0, F.array_contains("include_extensions", extension(F.col("path")))).otherwise(F.lit(True))
-    ok = included & ~matches_any(posix(F.col("path")), F.col("exclude_patterns"))
-    return f.groupBy("repository").agg(F.count(F.lit(1)).alias("total"), F.count_if(ok).alias("eligible"), F.count_if(~ok).alias("filtered"))
+    f = table(spark, d, "file_inputs", "file_id", "repository", "path").join(repos, F.col("repository") == F.col("repo_name"))
+    ok = M.eligible(F.col("path"), M.included(F.col("include_extensions"), DEFAULT_EXTENSIONS), matches_any(posix(F.col("path")), F.col("exclude_patterns")))
+    return M.count_eligible(f, ok, "repository")
 
 
 def redelivered(spark: SparkSession, d: str) -> DataFrame:
@@ -123,12 +123,17 @@ WHERE r = 1 AND {_UUID.format(c="document_id")} NOT IN (SELECT {_UUID.format(c="
     SELECT *, sum(CASE WHEN gap THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS burst FROM (
       SELECT event_id, user_id, ts, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= INTERVAL 1 HOUR, true) AS gap FROM events)))
 GROUP BY user_id, burst, last_ts""",
-    "rename_correlation": """SELECT pid AS unlink_id, id AS add_id, CASE WHEN psize = size THEN 0.9::DOUBLE ELSE 0.7::DOUBLE END AS confidence FROM (
-  SELECT *, lag(kind) OVER w AS pk, lag(id) OVER w AS pid, lag(ts) OVER w AS pts, lag(size) OVER w AS psize FROM (
-    SELECT event_id AS id, user_id, ts, floor(value) AS size, CASE event_type WHEN 'error' THEN 0 ELSE 1 END AS kind FROM events WHERE event_type IN ('error', 'signup'))
-  WINDOW w AS (PARTITION BY user_id ORDER BY ts, kind, id)) WHERE kind = 1 AND pk = 0 AND ts - pts <= INTERVAL 1 DAY""",
+    "rename_correlation": """WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, kind, id) AS r FROM (
+  SELECT event_id AS id, user_id, ts, floor(value) AS size, CASE event_type WHEN 'error' THEN 0 ELSE 1 END AS kind FROM events WHERE event_type IN ('error', 'signup'))),
+w AS (SELECT user_id, CAST(0 AS BIGINT) AS r, CAST([] AS STRUCT(id BIGINT, ts TIMESTAMP, size DOUBLE)[]) AS held, NULL::STRUCT(id BIGINT, ts TIMESTAMP, size DOUBLE) AS old, NULL::BIGINT AS id, NULL::DOUBLE AS size FROM (SELECT DISTINCT user_id FROM e)
+  UNION ALL SELECT w.user_id, e.r,
+    CASE WHEN e.kind = 0 THEN list_append(held, {'id': e.id, 'ts': e.ts, 'size': e.size}) WHEN len(held) > 0 AND e.ts - held[-1].ts <= INTERVAL 1 DAY THEN held[:-2] ELSE held END,
+    CASE WHEN e.kind = 1 AND len(held) > 0 AND e.ts - held[-1].ts <= INTERVAL 1 DAY THEN held[-1] END, e.id, e.size
+  FROM w JOIN e ON e.user_id = w.user_id AND e.r = w.r + 1)
+SELECT old.id AS unlink_id, id AS add_id, CASE WHEN old.size = size THEN 0.9::DOUBLE ELSE 0.7::DOUBLE END AS confidence FROM w WHERE old IS NOT NULL""",
     "change_eligibility": rf"""SELECT repository, count(*) AS total, count(*) FILTER (WHERE ok) AS eligible, count(*) FILTER (WHERE NOT ok) AS filtered FROM (
-  SELECT repository, (include_extensions IS NULL OR len(include_extensions) = 0 OR list_contains(include_extensions, ext))
+  SELECT repository, list_contains(CASE WHEN include_extensions IS NULL OR len(include_extensions) = 0
+      THEN ['.js', '.ts', '.jsx', '.tsx', '.cs', '.py', '.java', '.go', '.rs', '.cpp', '.c', '.h', '.pdf', '.docx', '.md', '.txt', '.rst', '.json', '.yaml', '.yml', '.toml'] ELSE include_extensions END, ext)
     AND NOT coalesce(len(list_filter(exclude_patterns, lambda p: regexp_matches(x, {_GLOB}))) > 0, false) AS ok
   FROM (SELECT repository, regexp_replace(replace(path, '\', '/'), '^(\./)+', '') AS x, lower(regexp_extract(regexp_replace(replace(path, '\', '/'), '^(\./)+', ''), '[^/](\.[^./]*)$', 1)) AS ext FROM file_inputs)
   JOIN repositories ON repository = repo_name) GROUP BY repository""",

@@ -8,9 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quern.operators import metrics as M
+from quern.operators.maintenance import size_guardrails
 from quern.tables import table
 
 AS_OF = "2024-01-20 00:00:00"
@@ -32,10 +32,10 @@ def update_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def update_metrics_per_repo(spark: SparkSession, d: str) -> DataFrame:
-    """Every user that has any event keeps a line, though only errors and purchases count as updates here."""
+    """Errors and purchases are update runs; a user without any keeps a line of zeros."""
     h = _history(spark, d)
-    few = h.where("files < 3")
-    return M.update_metrics(M.with_all(h, few, "user_id"), "user_id")
+    runs = h.join(table(spark, d, "events", "event_id", "event_type").where(F.col("event_type").isin("error", "purchase")).select("event_id"), "event_id", "left_semi")
+    return M.update_metrics(M.with_all(h, runs, "user_id"), "user_id")
 
 
 def update_trend(spark: SparkSession, d: str) -> DataFrame:
@@ -43,8 +43,16 @@ def update_trend(spark: SparkSession, d: str) -> DataFrame:
 
 
 def query_type_metrics(spark: SparkSession, d: str) -> DataFrame:
-    log = table(spark, d, "events", "event_type", "value", "props").select(F.col("event_type").alias("query_type"), F.col("value").alias("duration"), (_k() % 2 == 0).alias("hit"))
-    return M.query_metrics(log, TYPES)
+    return M.query_metrics(_log(spark, d), TYPES)
+
+
+def _log(spark: SparkSession, d: str) -> DataFrame:
+    """The query log: an even ``k`` is a cache hit, ``k`` the number of results, a multiple of 17 a failure."""
+    return table(spark, d, "events", "ts", "event_type", "value", "props").select("ts", F.col("event_type").alias("query_type"), F.col("value").alias("duration"), (_k() % 2 == 0).alias("hit"), _k().alias("results"), (_k() % 17 == 0).alias("failed"))
+
+
+def query_trend(spark: SparkSession, d: str) -> DataFrame:
+    return M.query_trend(_log(spark, d), AS_OF)
 
 
 def history_last_n(spark: SparkSession, d: str) -> DataFrame:
@@ -53,9 +61,7 @@ def history_last_n(spark: SparkSession, d: str) -> DataFrame:
 
 def rolling_rate(spark: SparkSession, d: str) -> DataFrame:
     """Events of the same type in the hour before each event, itself included."""
-    e = table(spark, d, "events", "event_id", "ts", "event_type").withColumn("_s", F.unix_micros(F.col("ts").cast("timestamp")))
-    w = Window.partitionBy("event_type").orderBy("_s").rangeBetween(-3_600_000_000, 0)
-    return e.select("event_id", F.count(F.lit(1)).over(w).alias("n_last_hour"))
+    return M.rolling_count(table(spark, d, "events", "event_id", "ts", "event_type"), ["event_type"], 3_600_000_000, "n_last_hour").select("event_id", "n_last_hour")
 
 
 def latency_stats(spark: SparkSession, d: str) -> DataFrame:
@@ -86,10 +92,38 @@ def recovery_choice(spark: SparkSession, d: str) -> DataFrame:
 
 
 def guardrails(spark: SparkSession, d: str) -> DataFrame:
-    """Size guardrails of each source: eligible files and bytes against a soft and a hard limit."""
-    f = table(spark, d, "documents", "source", "file_size_bytes", "deleted_at").where("deleted_at is null")
-    sized = f.groupBy("source").agg(F.count(F.lit(1)).alias("files"), F.sum("file_size_bytes").alias("bytes"))
-    return sized.withColumn("verdict", F.when((F.col("files") > 100) | (F.col("bytes") > 1_000_000), "refuse").when((F.col("files") > 10) | (F.col("bytes") > 100_000), "warn").otherwise("ok"))
+    """Size guardrails of each source over its live documents with the usual limits."""
+    return size_guardrails(_sized(spark, d), "source")
+
+
+def _sized(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents", "source", "file_size_bytes", "deleted_at").where("deleted_at is null").select("source", F.col("file_size_bytes").alias("bytes"))
+
+
+def guardrails_small(spark: SparkSession, d: str) -> DataFrame:
+    """The same with limits that these tables reach, forced and not."""
+    limits = {"soft": (3, 20_000), "hard": (6, 60_000)}
+    return size_guardrails(_sized(spark, d), "source", **limits).withColumnRenamed("verdict", "verdict_small").join(
+        size_guardrails(_sized(spark, d), "source", True, **limits).select(F.col("source").alias("_s"), F.col("verdict").alias("forced")), F.col("source").eqNullSafe(F.col("_s"))
+    ).drop("_s")
+
+
+def folder_counters(spark: SparkSession, d: str) -> DataFrame:
+    """What an indexing run reports for each folder: files, words in thousands as pieces, files without a text as failures."""
+    docs = table(spark, d, "documents", "source", "word_count", "text").select("source", F.col("word_count").alias("chunks"), F.col("text").isNull().alias("failed"))
+    return M.grouped_counters(docs, "source")
+
+
+def table_listing(spark: SparkSession, d: str) -> DataFrame:
+    """Index entries gathered by file as pieces of one table, with what the first piece says."""
+    e = table(spark, d, "chroma_entries", "collection_name", "file_path", "chunk_index", "total_chunks", "lang")
+    return M.table_listing(e, ["collection_name", "file_path"], "chunk_index", "total_chunks", "lang")
+
+
+def table_confidence(spark: SparkSession, d: str) -> DataFrame:
+    """Stored pieces as cells of their document's table; those that start on a multiple of five are aligned."""
+    c = table(spark, d, "document_chunks", "document_id", "start_offset").select("document_id", F.coalesce(F.col("start_offset") % 5 == 0, F.lit(False)).alias("aligned"))
+    return M.table_confidence(c, ["document_id"])
 
 
 QUERIES = {
@@ -104,21 +138,27 @@ QUERIES = {
     "status_rule": status_rule,
     "recovery_choice": recovery_choice,
     "guardrails": guardrails,
+    "guardrails_small": guardrails_small,
+    "query_trend": query_trend,
+    "folder_counters": folder_counters,
+    "table_listing": table_listing,
+    "table_confidence": table_confidence,
 }
 
 _H = """h AS (SELECT event_id, ts, user_id, value AS duration_ms, CAST(json_extract_string(props, '$.k') AS BIGINT) AS files,
   3 * CAST(json_extract_string(props, '$.k') AS BIGINT) AS chunks, CASE WHEN event_type = 'error' THEN 'failed' ELSE 'success' END AS status FROM events)"""
-_M = """count(status) AS n_updates, round(coalesce(avg(duration_ms), 0), 4) AS avg_duration_ms, CAST(coalesce(sum(files), 0) AS BIGINT) AS files, CAST(coalesce(sum(chunks), 0) AS BIGINT) AS chunks,
+_M = """count(status) AS n_updates, round(coalesce(avg(duration_ms), 0), 6) AS avg_duration_ms, CAST(coalesce(sum(files), 0) AS BIGINT) AS files, CAST(coalesce(sum(chunks), 0) AS BIGINT) AS chunks,
   round(coalesce(avg(CASE WHEN status = 'success' THEN 1.0::DOUBLE WHEN status IS NOT NULL THEN 0.0 END), 0), 6) AS success_rate,
   round(coalesce(avg(CASE WHEN status = 'success' THEN 0.0::DOUBLE WHEN status IS NOT NULL THEN 1.0 END), 0), 6) AS error_rate"""
 
 SQL = {
     "update_metrics": f"WITH {_H} SELECT {_M} FROM h",
-    "update_metrics_per_repo": f"WITH {_H} SELECT u.user_id, {_M} FROM (SELECT DISTINCT user_id FROM h) u LEFT JOIN (SELECT * FROM h WHERE files < 3) h ON u.user_id = h.user_id GROUP BY u.user_id",
+    "update_metrics_per_repo": f"WITH {_H} SELECT u.user_id, {_M} FROM (SELECT DISTINCT user_id FROM h) u LEFT JOIN (SELECT h.* FROM h JOIN events e ON e.event_id = h.event_id WHERE e.event_type IN ('error', 'purchase')) h ON u.user_id = h.user_id GROUP BY u.user_id",
     "update_trend": f"""WITH {_H} SELECT strftime(ts, '%Y-%m-%d') AS day, {_M} FROM h
 WHERE ts >= TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY AND ts <= TIMESTAMP '{AS_OF}' GROUP BY 1""",
     "query_type_metrics": f"""SELECT t.query_type, count(e.event_id) AS n, round(coalesce(avg(value), 0), 4) AS avg_duration, round(coalesce(min(value), 0), 4) AS min_duration,
-  round(coalesce(max(value), 0), 4) AS max_duration, round(coalesce(avg(CASE WHEN CAST(json_extract_string(props, '$.k') AS BIGINT) % 2 = 0 THEN 1.0::DOUBLE WHEN e.event_id IS NOT NULL THEN 0.0 END), 0), 6) AS hit_rate
+  round(coalesce(max(value), 0), 4) AS max_duration, round(coalesce(avg(CASE WHEN CAST(json_extract_string(props, '$.k') AS BIGINT) % 2 = 0 THEN 1.0::DOUBLE WHEN e.event_id IS NOT NULL THEN 0.0 END), 0), 6) AS hit_rate,
+  round(coalesce(avg(CAST(json_extract_string(props, '$.k') AS BIGINT)), 0), 4) AS avg_results, count(*) FILTER (WHERE CAST(json_extract_string(props, '$.k') AS BIGINT) % 17 = 0) AS n_errors
 FROM (SELECT unnest({TYPES}) AS query_type) t LEFT JOIN events e ON e.event_type = t.query_type GROUP BY t.query_type""",
     "history_last_n": """SELECT event_id, ts, user_id, CAST(rank AS INTEGER) AS rank FROM (
   SELECT event_id, ts, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rank FROM events) WHERE rank <= 20""",
@@ -135,6 +175,16 @@ FROM (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, count(*) FILTER (WHERE ev
   count(*) FILTER (WHERE event_type = 'purchase') AS del, count(*) FILTER (WHERE event_type = 'error') AS err FROM events GROUP BY 1, 2)""",
     "recovery_choice": """SELECT repo_name, CASE WHEN source = 'local-folder' THEN 'resume' WHEN date_sub('hour', last_indexed_at, TIMESTAMP '2026-01-01 00:00:00') > 24 THEN 'full_reindex'
   WHEN branch IS NULL THEN 'full_reindex' WHEN local_path IS NULL THEN 'manual' ELSE 'resume' END AS choice FROM repositories""",
-    "guardrails": """SELECT source, files, bytes, CASE WHEN files > 100 OR bytes > 1000000 THEN 'refuse' WHEN files > 10 OR bytes > 100000 THEN 'warn' ELSE 'ok' END AS verdict
-FROM (SELECT source, count(*) AS files, CAST(sum(file_size_bytes) AS BIGINT) AS bytes FROM documents WHERE deleted_at IS NULL GROUP BY source)""",
+    "guardrails": """SELECT source, files, bytes, CASE WHEN files > 100000 OR bytes > 10::BIGINT * 1024 * 1024 * 1024 THEN 'refuse' WHEN files > 10000 OR bytes > 1024 * 1024 * 1024 THEN 'warn' ELSE 'ok' END AS verdict
+FROM (SELECT source, count(*) AS files, CAST(coalesce(sum(file_size_bytes), 0) AS BIGINT) AS bytes FROM documents WHERE deleted_at IS NULL GROUP BY source)""",
+    "guardrails_small": """SELECT source, files, bytes, CASE WHEN files > 6 OR bytes > 60000 THEN 'refuse' WHEN files > 3 OR bytes > 20000 THEN 'warn' ELSE 'ok' END AS verdict_small,
+  CASE WHEN files > 3 OR bytes > 20000 THEN 'warn' ELSE 'ok' END AS forced
+FROM (SELECT source, count(*) AS files, CAST(coalesce(sum(file_size_bytes), 0) AS BIGINT) AS bytes FROM documents WHERE deleted_at IS NULL GROUP BY source)""",
+    "query_trend": f"""SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, round(avg(value), 4) AS avg_duration FROM events
+WHERE ts >= TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY AND ts <= TIMESTAMP '{AS_OF}' GROUP BY 1""",
+    "folder_counters": "SELECT source, count(*) AS n_files, CAST(coalesce(sum(word_count), 0) AS BIGINT) AS n_chunks, count(*) FILTER (WHERE text IS NULL) AS n_failed FROM documents GROUP BY source",
+    "table_listing": """SELECT collection_name, file_path, total_chunks, lang, n_chunks FROM (
+  SELECT collection_name, file_path, total_chunks, lang, count(*) OVER (PARTITION BY collection_name, file_path) AS n_chunks,
+    row_number() OVER (PARTITION BY collection_name, file_path ORDER BY chunk_index NULLS FIRST, total_chunks NULLS FIRST, lang NULLS FIRST) AS r FROM chroma_entries) WHERE r = 1""",
+    "table_confidence": "SELECT document_id, round(count(*) FILTER (WHERE start_offset % 5 = 0) / count(*), 2) AS confidence FROM document_chunks GROUP BY document_id",
 }

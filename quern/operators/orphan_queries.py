@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.operators.orphans import Entity, Reference, direct_orphans, orphan_cascade, orphan_report
+from quern.operators.orphans import Entity, Reference, orphan_cascade, orphan_report
 from quern.tables import table
 
 REFERENCES = (
@@ -24,7 +24,8 @@ def _entities(spark: SparkSession, d: str) -> dict[str, Entity]:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return direct_orphans(_entities(spark, d), REFERENCES)
+    """The direct orphans of the cascade; the inherited ones drop out of the plan."""
+    return p3_cascade(spark, d).where("kind = 'direct'").select("ref_table", "ref_field", "row_id", "ref_month")
 
 
 def p3_cascade(spark: SparkSession, d: str) -> DataFrame:

@@ -157,36 +157,40 @@ def _children(entities: Mapping[str, Entity], references: Sequence[Reference], f
     return out
 
 
-def orphan_cascade(entities: Mapping[str, Entity], references: Sequence[Reference], max_rounds: int = 50) -> DataFrame:
+#: Rounds of a cyclic cascade after which its pieces are written as one.
+COMPACT = 16
+
+
+def orphan_cascade(entities: Mapping[str, Entity], references: Sequence[Reference]) -> DataFrame:
     """Direct and inherited orphans: (ref_table, ref_field, row_id, ref_month, kind, depth).
 
     ``kind`` is ``direct`` (depth 0) or ``inherited`` (depth = number of references up to the nearest
     row that is directly orphaned). A reference that is direct is not reported as inherited as well.
+    The direct orphans go through the checkpoint folder, as every round starts from them. Without a cycle
+    the rounds are a lazy plan; in a cyclic graph each round's new rows are checkpointed, alone, until
+    a round brings none, however deep the chain.
     """
-    direct = direct_orphans(entities, references)
-    out = direct.withColumns({"kind": F.lit("direct"), "depth": F.lit(0)})
     keys = ["ref_table", "ref_field", "row_id"]
     depth = _depth(references)
+    direct = checkpointed(direct_orphans(entities, references))
+    out = direct.withColumns({"kind": F.lit("direct"), "depth": F.lit(0)})
     frontier = direct.select("ref_table", "row_id").distinct()
-    if depth is None:
-        out, frontier = checkpointed(out), checkpointed(frontier)
-    known_rows = frontier
-    for step in range(1, (max_rounds if depth is None else depth) + 1):
-        found = _children(entities, references, frontier)
-        fresh = found.join(out.select(keys), keys, "left_anti").withColumns(
-            {"kind": F.lit("inherited"), "depth": F.lit(step)}
-        )
+    known = frontier
+    step = 0
+    while depth is None or step < depth - 1:
+        step += 1
+        fresh = _children(entities, references, frontier).join(out.select(keys), keys, "left_anti").withColumns({"kind": F.lit("inherited"), "depth": F.lit(step)})
         if depth is None:
             fresh = checkpointed(fresh)
             if fresh.isEmpty():
                 break
         out = out.unionByName(fresh)
-        frontier = fresh.select("ref_table", "row_id").distinct().join(known_rows, ["ref_table", "row_id"], "left_anti")
-        known_rows = known_rows.unionByName(frontier)
+        frontier = fresh.select("ref_table", "row_id").distinct().join(known, ["ref_table", "row_id"], "left_anti")
         if depth is None:
-            out, frontier, known_rows = checkpointed(out), checkpointed(frontier), checkpointed(known_rows)
-        elif step == depth - 1:
-            break
+            frontier = checkpointed(frontier)
+        known = known.unionByName(frontier)
+        if depth is None and step % COMPACT == 0:  # keeps the plans short: the pieces become one
+            out, known = checkpointed(out), checkpointed(known)
     return out
 
 

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -43,7 +44,7 @@ def _scored(vectors: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int | N
             if not b.num_rows:
                 continue
             lists = b.column(1)
-            if len(lists.flatten()) != size * b.num_rows:
+            if pc.any(pc.not_equal(pc.list_value_length(lists), size)).as_py():
                 raise ValueError("vectors differ in size from the queries")
             m = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
             n = np.linalg.norm(m, axis=1, keepdims=True)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,12 +29,19 @@ def session(app: str = "quern", master: str | None = None, **conf: str) -> Spark
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage through the shared checkpoint folder.
 
-    The folder named by ``spark.checkpoint.dir`` is used; only a session that names none
-    (tests on one machine) gets a temporary one.
+    The folder named by ``spark.checkpoint.dir`` is used. A session that names none gets a temporary one
+    only if all of it runs on this machine; on a cluster that is an error, as executors would not share it.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quern-ckpt-"))
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(checkpoint_folder(df.sparkSession.conf.get("spark.checkpoint.dir", None), sc.master))
     return df.checkpoint(eager=True)
+
+
+def checkpoint_folder(named: str | None, master: str) -> str:
+    """The folder for checkpoints: the one named, else a temporary one in local mode only."""
+    if named:
+        return named
+    if re.fullmatch(r"local(\[[^\]]*\])?", master):
+        return tempfile.mkdtemp(prefix="quern-ckpt-")
+    raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")

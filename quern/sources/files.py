@@ -16,10 +16,8 @@ from pyspark.sql import functions as F
 from quern.functions.text import extension
 
 #: Default extensions, folders never descended into, lock files.
-DEFAULT_EXTENSIONS = (
-    ".ts .tsx .mts .cts .js .jsx .mjs .cjs .java .py .pyw .go .rs .c .h .cpp .hpp .cs .rb .php .md .txt .json .yml .yaml .toml .xml .html .css .sql .sh"
-).split()
-SKIPPED_FOLDERS = ("node_modules", "dist", "build", "bin", "obj", ".git", ".svn", ".hg")
+DEFAULT_EXTENSIONS = ".js .ts .jsx .tsx .cs .py .java .go .rs .cpp .c .h .pdf .docx .md .txt .rst .json .yaml .yml .toml".split()
+SKIPPED_FOLDERS = ("node_modules", "dist", "build", "bin", "obj", ".git", ".svn", ".hg", "_darcs")
 LOCK_FILES = ("package-lock.json", "yarn.lock", "pnpm-lock.yaml", "bun.lockb", "Cargo.lock", "poetry.lock", "Gemfile.lock", "composer.lock")
 MAX_BYTES = 1 << 20
 DOCUMENT_TYPES = {".pdf": "pdf", ".docx": "docx", ".md": "markdown", ".markdown": "markdown", ".txt": "txt", ".png": "image", ".jpg": "image", ".jpeg": "image", ".gif": "image", ".webp": "image", ".tif": "image", ".tiff": "image"}

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
-from quern.operators import maintenance as M
 from quern.sources.snapshots import SnapshotTable
 
 
@@ -88,16 +87,15 @@ def correlate_renames(events: DataFrame, window_ms: int = 500, late: str = "10 s
 
 
 def apply_stream(changes: DataFrame, table: SnapshotTable, chunks_of: Callable[[DataFrame], DataFrame], checkpoint: str, every: str = "30 seconds") -> StreamingQuery:
-    """Apply changes (path, old_path, change) to a chunk table batch by batch; a batch replayed gives the same table.
+    """Apply changes (repository, path, old_path, change) to a chunk table batch by batch; a batch replayed gives the same table.
 
-    ``chunks_of`` makes the new chunks of a batch's added, modified and renamed files. Back-pressure is the
+    Only the buckets of the batch's files are read and written. ``chunks_of`` makes the new chunks of a batch's added, modified and renamed files. Back-pressure is the
     source's (``maxFilesPerTrigger`` and the like); the trigger interval is the longest wait.
     """
 
     def apply(batch: DataFrame, _: int) -> None:
         if batch.isEmpty():
             return
-        fresh = chunks_of(batch.where(F.col("change") != "deleted"))
-        table.write(M.apply_changes(table.read(), batch, fresh) if table.version() is not None else fresh)
+        table.apply(batch, chunks_of(batch.where(F.col("change") != "deleted")))
 
     return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()

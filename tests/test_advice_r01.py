@@ -3,7 +3,6 @@
 import random
 from datetime import datetime, timedelta
 
-from quern.llm import handwritten, scans, secrets
 from quern.operators import codegraph
 from quern.operators import maintenance as M
 from quern.operators import structure_queries
@@ -26,42 +25,6 @@ def test_renames_take_the_latest_open_unlink(spark):
     assert {(r.unlink_id, r.add_id) for r in got.collect()} == want and {(1001, 1002), (1000, 1003)} <= want
 
 
-def test_rare_words_of_a_large_table_decide(spark):
-    bulk = "reading the manual before every release keeps a stable process " * 40
-    texts = [bulk] * 20 + ["the operations stop\n"] * 16 + ["the 0perations stop\n", "a side-car\n", "a side-\ncar", "bo1t bolt\n", *["bo1t bolt\n"] * 4]
-    pages = spark.createDataFrame([(i, i, 1, t) for i, t in enumerate(texts)] + [(None, 99, 1, "the 0perations stop\n")], "page_id long, doc_id long, page_number int, content string")
-    editor = scans.train(pages, share=0.01)
-    assert "operations" not in editor.counts and "side-car" not in editor.counts
-    found = {(r.page_id, r.line_no, r.defect) for r in scans.defects(pages, editor).collect()}
-    assert {(36, 1, "misread"), (None, 1, "misread")} <= found
-    assert not {p for p, _, d in found if d == "misread"} & set(range(39, 44))  # bolt is not far more frequent than bo1t
-    whole = scans.Editor({r.word: r.n for r in editor.words.collect()})
-    whole.letters, whole.lines = editor.letters, editor.lines
-    words = ["operations", "0perations", "bo1t", "rnanual", "sidecar", "unheard"]
-    got = {r.word: r.fixed for r in scans.repairs(spark.createDataFrame([(w,) for w in words], "word string"), editor).collect()}
-    assert got == {w: f for w in words if (f := whole.repair(w))} and got["0perations"] == "operations"
-    breaks = [("side", "car", "-"), ("re", "lease", "-"), ("oper", "ations", "-"), ("0per", "ations", "-"), ("side", "", "-"), ("the", "", "-")]
-    words = {x for a, b, _ in breaks for x in (a, b, a + b)}
-    fixed = scans.repairs(spark.createDataFrame([(w,) for w in words], "word string"), editor)
-    joined = scans.joins(spark.createDataFrame(breaks, "a string, b string, sign string"), fixed, editor)
-    assert {tuple(r) for r in joined.collect()} == {x for x in breaks if whole.join(*x)}
-
-
-def test_long_and_spaced_values_are_candidates():
-    rng = random.Random(8)
-    token = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(n))
-    rows = [(f"src/a{i}.js", f'const apiKey{i} = "{token(32)}";\nconst label = "chunk-name";\nconst password = "changeme";\n// run with --password {token(12)}!\n') for i in range(150)]
-    rows += [(f"conf/{i}.env", f"DB_PASSWORD={token(14)}#1\nDATABASE_URL=postgres://app:{token(14)}@db.example/x\nPORT=80{i}\n") for i in range(150)]
-    model = secrets.fit(rows)
-    jwt = f"eyJ{token(30)}.{token(300)}.{token(342)}"
-    text = f'const authToken = "{jwt}";\nconst dsn = "host=db user=x password={token(14)} port=1";\nconst passphrase = "{token(7)} {token(9)} {token(8)}";\nconst note = "host=db user=x";\n// {token(90)}\n'
-    assert [(c.line, len(c.value)) for c in secrets.candidates(text, "x.js")] == [(1, len(jwt)), (2, 14), (3, 26), (5, 90)]
-    found = secrets.found_in(text, "x.js", model)
-    assert {1, 2} <= {c.line for c, _ in found}
-    masked = secrets.mask(text, [s for c, _ in found for s in c.spans])
-    assert len(masked) == len(text) and jwt not in masked and "host=db user=x password=XXXXXXXXXXXXXX port=1" in masked
-
-
 def test_pieces_meet_documents_by_uuid_and_markdown_by_extension(spark, tmp_path):
     key = "0a1b2c3d-0000-4000-8000-00000000000{}"
     docs = [(1, key.format(1), "# One\n\ntext\n", "markdown", "s", "a.md"), (2, key.format(2), "# Two\n\ntext\n", None, "s", "b.MD"), (3, key.format(3), "# Three\n\ntext\n", "pdf", "s", "c.pdf"), (4, key.format(4), None, None, "s", None)]
@@ -71,19 +34,6 @@ def test_pieces_meet_documents_by_uuid_and_markdown_by_extension(spark, tmp_path
     assert {(r.doc_id, r.chunk_id) for r in structure_queries.chunk_headings(spark, str(tmp_path)).collect()} == {(1, "c0"), (1, "c1"), (2, "c2")}
 
 
-def test_blobs_with_many_names_are_data():
-    def why(text, lang):
-        limits = handwritten.THRESHOLDS[lang]
-        return handwritten.reason(text, lang, handwritten.layout(text, lang, limits), limits)
-
-    code = "import base64\nimport zlib\n\n\ndef load():\n    return zlib.decompress(base64.b64decode(DATA))\n\n\n"
-    assert why(code + 'DATA = "' + "Ab3d" * 400 + '"\n', "python") == "data"
-    assert why(code + 'DATA = (\n' + ('    "' + "Ab3d" * 19 + '"\n') * 20 + ")\n", "python") == "data"
-    assert why(code + 'DATA = "' + "Ab3d" * 10 + '"\n', "python") is None
-    rows = "".join(f"  {k}: [{', '.join(str(i * 37 % 9973) for i in range(n, n + 40))}],\n" for n, k in enumerate("alpha beta gamma delta epsilon zeta eta theta iota".split()))
-    assert why(f"export const table = {{\n{rows}}};\n", "typescript") == "data"
-
-
 def test_long_expressions_and_signatures_stay_whole():
     chain = "a." + ".".join(f"member{i}" for i in range(60))
     assert [c[1] for c in codegraph.parse(f"{chain}()\n", "python").calls] == [chain]

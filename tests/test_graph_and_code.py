@@ -1,4 +1,7 @@
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
 from quern.operators import codegraph as C
 from quern.operators import graph as G
@@ -28,6 +31,23 @@ def test_paths(spark, edges):
     assert G.shortest_paths(ids(spark, "d"), ids(spark, "a"), edges).count() == 0
 
 
+def test_limits_inside_the_levels_are_exact(spark):
+    rng = random.Random(3)
+    rows = {(f"n{rng.randint(0, 60):02}", f"n{rng.randint(0, 60):02}", "IMPORTS") for _ in range(150)} | {("n00", f"n{i:02}", "IMPORTS") for i in range(1, 55)}
+    df = spark.createDataFrame(sorted(rows), "src string, dst string, type string")
+    starts = ids(spark, *[f"n{i:02}" for i in range(0, 60, 5)])
+    every = {}
+    for r in sorted(G.reach(starts, df, None, 3).collect(), key=lambda r: (r.start, r.depth, r.node)):
+        every.setdefault(r.start, []).append((r.node, r.depth))
+    for limit in (1, 4, 11):
+        got = {}
+        for r in sorted(G.reach(starts, df, None, 3, limit).collect(), key=lambda r: (r.start, r.depth, r.node)):
+            got.setdefault(r.start, []).append((r.node, r.depth))
+        assert got == {k: v[:limit] for k, v in every.items()}
+    exact = {r.start: (r.n_direct, r.score) for r in G.impact(starts, df, ("IMPORTS",)).collect()}
+    assert exact == {r.start: (r.n_direct, r.score) for r in G.impact_scores(starts, df, ("IMPORTS",)).collect()}
+
+
 def test_context_and_writes(spark, edges):
     nodes = spark.createDataFrame([(n, "File", "r", "md") for n in "abcdx"] + [("m", "Module", None, None)], "id string, label string, repository string, extension string")
     ctx = {(r.node, r.context) for r in G.expand_context(ids(spark, "a"), nodes, edges).collect()}
@@ -37,6 +57,13 @@ def test_context_and_writes(spark, edges):
     assert G.merge_edges(edges, edges).count() == edges.count()
     up = G.upsert_nodes(nodes, spark.createDataFrame([("a", "Class", "r", 1), ("a", "Enum", "r", 2)], "id string, label string, repository string, _seq int"))
     assert [r.label for r in up.where("id = 'a'").collect()] == ["Enum"]
+    twice = G.upsert_nodes(nodes, spark.createDataFrame([("a", "Class", "r"), ("a", "Enum", "r")], "id string, label string, repository string"))
+    assert [r.label for r in twice.where("id = 'a'").collect()] == ["Enum"]
+    docs = nodes.withColumn("extension", F.when(F.col("id") == "d", "md").otherwise("ts"))
+    ctx = {(r.node, r.context) for r in G.expand_context(ids(spark, "c"), docs, edges.union(spark.createDataFrame([("c", "x", "REFERENCES")], edges.schema))).collect()}
+    assert ("d", "documentation") in ctx and "x" not in {n for n, _ in ctx}
+    with pytest.raises(ValueError):
+        G.architecture(nodes, "entities")
     both = spark.createDataFrame([("a", "m", "IMPORTS"), ("q", "m", "IMPORTS")], "src string, dst string, type string")
     kept, _ = G.delete_repository(nodes, both, "r")
     assert [r.id for r in kept.collect()] == ["m"]

@@ -54,3 +54,23 @@ def test_cycle_ends(spark):
     df = spark.createDataFrame([(i, p, D(2025, 1, 1)) for i, p in rows], "id string, parent string, t timestamp_ntz")
     out = orphan_cascade({"n": Entity(df, "id", "t")}, (Reference("n", "parent", "n", "id", False),))
     assert {(r.row_id, r.kind, r.depth) for r in out.collect()} == {("d", "direct", 0), ("e", "inherited", 1), ("f", "inherited", 2)}
+
+
+def test_a_deep_cycle_is_followed_to_its_end(spark):
+    n = 40  # longer than the pieces are kept apart
+    t = D(2025, 1, 1)
+    rows = [(f"r{i}", f"r{i - 1}" if i else "gone", t) for i in range(n)]
+    e = {"nodes": Entity(spark.createDataFrame(rows, "id string, parent string, t timestamp_ntz").coalesce(1), "id", "t")}
+    got = {r.row_id: (r.kind, r.depth) for r in orphan_cascade(e, (Reference("nodes", "parent", "nodes", "id"),)).collect()}
+    assert got == {f"r{i}": ("inherited" if i else "direct", i) for i in range(n)}
+
+
+def test_checkpoint_folder():
+    import pytest
+
+    from quern.session import checkpoint_folder
+
+    assert checkpoint_folder("hdfs://x/ck", "yarn") == "hdfs://x/ck" and "quern" in checkpoint_folder(None, "local[4]")
+    for master in ("yarn", "spark://h:7077", "local-cluster[2,1,1024]", "k8s://h"):
+        with pytest.raises(RuntimeError):
+            checkpoint_folder(None, master)

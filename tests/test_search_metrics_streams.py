@@ -69,10 +69,13 @@ def test_maintenance(spark):
     assert diff(True)[1] == "modified"
     lines = spark.createDataFrame([("A\tx",), ("D\ty",), ("R100\told\tnew",), ("T\tz",), ("junk",)], "value string")
     assert {tuple(r) for r in M.parse_name_status(lines).collect()} == {("added", "x", None), ("removed", "y", None), ("renamed", "new", "old"), ("modified", "z", None)}
-    chunks = spark.createDataFrame([("a", 1), ("b", 1), ("c", 1)], "file_path string, n int")
-    ch = spark.createDataFrame([("a", None, "modified"), ("d", "b", "renamed"), ("e", None, "added")], "path string, old_path string, change string")
-    fresh = spark.createDataFrame([("a", 2), ("d", 2), ("e", 2)], "file_path string, n int")
-    assert {tuple(r) for r in M.apply_changes(chunks, ch, fresh).collect()} == {("c", 1), ("a", 2), ("d", 2), ("e", 2)}
+    chunks = spark.createDataFrame([("r", "a", 1), ("r", "b", 1), ("r", "c", 1), ("q", "a", 1)], "repository string, file_path string, n int")
+    ch = spark.createDataFrame([("r", "a", None, "modified"), ("r", "d", "b", "renamed"), ("r", "e", None, "added")], "repository string, path string, old_path string, change string")
+    fresh = spark.createDataFrame([("r", "a", 2), ("r", "d", 2), ("r", "e", 2)], "repository string, file_path string, n int")
+    want = [("q", "a", 1), ("r", "a", 2), ("r", "c", 1), ("r", "d", 2), ("r", "e", 2)]
+    once = M.apply_changes(chunks, ch, fresh)
+    assert sorted(tuple(r) for r in once.collect()) == want
+    assert sorted(tuple(r) for r in M.apply_changes(once, ch, fresh).collect()) == want  # a replay stores nothing twice
     ok, bad = M.split_oversized(spark.createDataFrame([(1, 10), (2, 9000)], "id int, tokens int"))
     assert ok.count() == 1 and "9000" in bad.first().error
 
@@ -125,10 +128,43 @@ def test_stream_renames(spark, tmp_path):
 
 
 def test_stream_apply(spark, tmp_path):
-    table = SnapshotTable(spark, str(tmp_path / "t"), ["file_path"])
-    table.write(spark.createDataFrame([("a", 1), ("b", 1)], "file_path string, n int"))
-    stream = _stream(spark, tmp_path, [[("a", None, "deleted"), ("c", "b", "renamed")]], "path string, old_path string, change string")
-    q = E.apply_stream(stream, table, lambda df: df.select(F.col("path").alias("file_path"), F.lit(2).alias("n")), str(tmp_path / "ck"), "1 second")
+    table = SnapshotTable(spark, str(tmp_path / "t"), ["repository", "file_path"], buckets=4)
+    table.write(spark.createDataFrame([("r", "a", 1), ("r", "b", 1), ("q", "a", 1)], "repository string, file_path string, n int"))
+    stream = _stream(spark, tmp_path, [[("r", "a", None, "deleted"), ("r", "c", "b", "renamed")]], "repository string, path string, old_path string, change string")
+    q = E.apply_stream(stream, table, lambda df: df.select("repository", F.col("path").alias("file_path"), F.lit(2).alias("n")), str(tmp_path / "ck"), "1 second")
     q.processAllAvailable()
     q.stop()
-    assert {tuple(r) for r in table.read().collect()} == {("c", 2)}
+    assert {tuple(r) for r in table.read().collect()} == {("q", "a", 1), ("r", "c", 2)}
+
+
+def test_max_wait(spark):
+    import random
+
+    rng = random.Random(2)
+    t, rows, at = D(2025, 1, 1), [], 0
+    for i in range(400):
+        at += rng.choice((500, 900, 1500, 2000, 7000))
+        rows.append(("ab"[i % 2], i, t + timedelta(milliseconds=at)))
+    want = set()
+    for k in "ab":
+        held = None
+        for _, i, ts in [r for r in rows if r[0] == k]:
+            ms = int(ts.timestamp() * 1000)
+            if held and ms - held[1] < 2000 and ms - held[0] < 5000:
+                held = (held[0], ms, i, held[3] + 1)
+                continue
+            if held:
+                want.add((k, min(held[1] + 2000, held[0] + 5000), held[2], held[3]))
+            held = (ms, ms, i, 1)
+        want.add((k, min(held[1] + 2000, held[0] + 5000), held[2], held[3]))
+    df = spark.createDataFrame(rows, "k string, i int, ts timestamp")
+    assert {tuple(r) for r in M.debounce_max_wait(df, ["k"], "i", 2000, 5000).collect()} == want
+    assert M.debounce_max_wait(df.limit(0), ["k"], "i").count() == 0
+
+
+def test_rolling_count_at_the_ends(spark):
+    t = D(2025, 1, 1)
+    rows = [("a", i, t + timedelta(seconds=s)) for i, s in enumerate((0, 0, 59, 60, 61, 119, 120, 500))] + [(None, 100, t)]
+    got = {r.i: r.n_last for r in Met.rolling_count(spark.createDataFrame(rows, "k string, i int, ts timestamp"), ["k"], 60_000_000).collect()}
+    secs = {i: s.timestamp() for k, i, s in rows if k}
+    assert got == {i: sum(s - 60 <= x <= s for x in secs.values()) for i, s in secs.items()} | {100: 1}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as T
 from quern.sources import files as S
-from quern.sources.snapshots import SnapshotTable, export_table
+from quern.sources.snapshots import ConcurrentWrite, SnapshotTable, export_table
 
 
 @pytest.fixture()
@@ -66,7 +66,25 @@ def test_snapshot_table(spark, tmp_path):
     assert [r.id for r in t.get({"v": "e"}).collect()] == [3]
     with pytest.raises(ValueError):
         t.get({})
-    assert not os.path.exists(tmp_path / "t/v1")
+    assert sorted(os.listdir(tmp_path / "t/commits"))[-1] == "3" and not os.path.exists(tmp_path / "t/commits/1")
+    t.drop()
+    assert t.version() is None
+
+
+def test_snapshot_table_survives_crashes_and_writers(spark, tmp_path):
+    t = SnapshotTable(spark, str(tmp_path / "t"), ["id"], buckets=3)
+    rows = lambda *x: spark.createDataFrame(list(x), "id int, v string")
+    t.write(rows((1, "a"), (2, "b"), (3, "c")))
+    (tmp_path / "t/commits/2").write_text("")  # a writer that ended while it committed
+    assert t.version() == 1 and t.read().count() == 3
+    assert t.upsert(rows((1, "z"))) == 3 and {tuple(r) for r in t.read().collect()} == {(1, "z"), (2, "b"), (3, "c")}
+    stale = t._current()
+    t.upsert(rows((4, "d")))
+    with pytest.raises(ConcurrentWrite):
+        t._write(rows((9, "x")), stale, {0})
+    assert t.read().count() == 4
+    t.delete(rows((1, ""), (2, ""), (3, ""), (4, "")).select("id"))
+    assert t.read().count() == 0 and t.read().columns == ["id", "v"]
 
 
 def test_export(spark, tmp_path):
