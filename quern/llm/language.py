@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm.sources import sample_below
 from quern.shipping import ship, unpack
 
 #: The languages with the ISO 639 codes and English names a label may have.
@@ -45,7 +46,11 @@ MISSING = ("", "und", "unknown", "none", "null", "mul", "mis", "zxx")
 _FENCE = re.compile(r"^[ \t>]*(```+|~~~+)[^\n]*$(?:.*?^[ \t>]*\1[ \t]*$|.*\Z)", re.S | re.M)
 _FRONT = re.compile(r"\A﻿?\s*---[ \t]*\r?\n.*?^---[ \t]*$", re.S | re.M)
 _INLINE = re.compile(r"`[^`\n]*(?:\n[^`\n]+)?`")
-_QUOTE = re.compile(r"“[^“”]{1,600}”|„[^„“”]{1,600}[“”]|«[^«»]{1,600}»|‹[^‹›]{1,600}›|(?<![\w\"])\"[^\"]{1,600}\"(?!\w)|(?<!\w)‘[^‘’]{1,600}’(?!\w)", re.S)
+#: Inside of a quotation without the signs given: all of it up to a blank line.
+_IN = r"(?:[^{}\n]|\n(?!\s*\n))+"
+_QUOTE = re.compile("|".join((
+    rf"“{_IN.format('“”')}”", rf"„{_IN.format('„“”')}[“”]", rf"«{_IN.format('«»')}»", rf"‹{_IN.format('‹›')}›", rf"(?<![\w\"])\"{_IN.format(chr(34))}\"(?!\w)", rf"(?<!\w)‘{_IN.format('‘’')}’(?!\w)",
+)))
 _ADDRESS = re.compile(r"\b[a-z][a-z0-9+.-]*://\S+|\bwww\.\S+|\S+@\S+\.\w+")
 _TABLE = re.compile(r"^[ \t]*\|.*$", re.M)
 _RUN = re.compile(r"\S{60,}")
@@ -53,8 +58,44 @@ _CITED = re.compile(r"^[ \t]*>.*$", re.M)
 _BREAK = re.compile(r"\n\s*")
 _STOP = re.compile(r"[^\W\d_][)\"'”»“]*[.!?:]")
 _WORD = re.compile(r"(?<![\w/.$])[^\W\d_]+(?!\w)")
-#: Latin letters (basic, Latin-1, Extended-A and -B), the script of all six languages.
-_LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ]+\Z")
+#: First and last letter of the ranges of each script, and the languages written in it.
+SCRIPTS = (
+    ("Latin", ("AZ", "az", "ÀÖ", "Øö", "øɏ"), ("en", "de", "fr", "es", "pt", "nl")),
+    ("Greek", ("Ͱ\u03ff", "ἀ\u1fff"), ()), ("Cyrillic", ("Ѐ\u052f",), ()), ("Armenian", ("Ա\u058f",), ()), ("Hebrew", ("א\u05ea",), ()), ("Arabic", ("\u0600\u06ff", "ݐ\u077f"), ()),
+    ("Devanagari", ("\u0900\u097f",), ()), ("Thai", ("ก\u0e7f",), ()), ("Kana", ("ぁ\u30ff",), ()), ("Han", ("㐀\u4dbf", "一\u9fff"), ()), ("Hangul", ("가\ud7a3", "ᄀ\u11ff"), ()),
+)
+#: Latin letters that only some of the languages write in words of their own.
+LETTERS = {
+    "ä": ("de", "nl"), "ö": ("de", "nl"), "ü": ("de", "es", "pt", "nl"), "ß": ("de",), "à": ("fr", "pt", "nl"), "â": ("fr", "pt"), "ç": ("fr", "pt"), "é": ("fr", "es", "pt", "nl"), "è": ("fr", "nl"), "ê": ("fr", "pt", "nl"),
+    "ë": ("fr", "nl"), "î": ("fr",), "ï": ("fr", "nl"), "ô": ("fr", "pt"), "û": ("fr",), "ù": ("fr",), "œ": ("fr",), "æ": ("fr",), "ÿ": ("fr",), "á": ("es", "pt", "nl"), "í": ("es", "pt", "nl"),
+    "ó": ("es", "pt", "nl"), "ú": ("es", "pt", "nl"), "ñ": ("es",), "ã": ("pt",), "õ": ("pt",), "ĳ": ("nl",),
+}
+
+
+def _of_letter(c: str) -> frozenset[str]:
+    """The languages that a letter may belong to: those of its script, or fewer."""
+    if c in LETTERS:
+        return frozenset(LETTERS[c])
+    return next((frozenset(langs) for _, ranges, langs in SCRIPTS if any(r[0] <= c <= r[1] for r in ranges)), frozenset())
+
+
+class Scripts:
+    """Candidates of words by the script ranges of their letters."""
+
+    def __init__(self) -> None:
+        self.known: dict[str, frozenset[str]] = {}
+        self.all = frozenset(LANGUAGES)
+
+    def candidates(self, low: str) -> frozenset[str]:
+        """The languages that a word in lower case may belong to: empty if its letters are of other scripts or belong nowhere together."""
+        out = self.all
+        if low.isascii():
+            return out
+        for c in low:
+            if c not in self.known:
+                self.known[c] = _of_letter(c)
+            out = out & self.known[c]
+        return out
 
 
 def label_language(c: Column) -> Column:
@@ -101,7 +142,7 @@ class LanguageModel:
     floor, neutral, known = -4.0, 0, 1
 
     def __init__(self, counts: dict[str, Counter]) -> None:
-        self.languages = LANGUAGES
+        self.languages, self.scripts = LANGUAGES, Scripts()
         k = len(LANGUAGES)
         words = sorted(set().union(*counts.values())) if counts else []
         table = np.zeros((len(words), k))
@@ -134,16 +175,22 @@ class LanguageModel:
         return [s[i : i + 3] for i in range(len(s) - 2)]
 
     def score(self, w: str) -> np.ndarray | None:
-        """Scores of a word (0 for the likeliest language), None if it says nothing."""
-        if not _LATIN.match(w) or not (w.islower() or w.istitle()):
-            return None
+        """Scores of a word (0 for the likeliest language), None if it says nothing.
+
+        Its script leaves the candidates; the others get the least score. Words all in capitals count if they are known.
+        """
         low = w.lower()
-        if (s := self.word.get(low)) is not None:
-            return s
-        if len(low) < 3:
+        fits = self.scripts.candidates(low)
+        if not fits or not (w.islower() or w.istitle() or low in self.word):
             return None
-        s = sum((self.gram[g] for g in self._grams(low) if g in self.gram), np.zeros(len(self.languages)))
-        return np.maximum(0.5 * (s - s.max()), self.floor / 2).astype(np.float32)
+        if (s := self.word.get(low)) is None:
+            if len(low) < 3:
+                return None
+            s = sum((self.gram[g] for g in self._grams(low) if g in self.gram), np.zeros(len(self.languages)))
+            s = np.maximum(0.5 * (s - s.max()), self.floor / 2).astype(np.float32)
+        if len(fits) < len(self.languages):
+            s = np.where([x in fits for x in self.languages], s - max(v for v, x in zip(s, self.languages, strict=True) if x in fits), self.floor).astype(np.float32)
+        return s
 
 
 def viterbi(scores: np.ndarray, length: np.ndarray, inner: float, outer: float, first: np.ndarray) -> np.ndarray:
@@ -298,11 +345,12 @@ def train(documents: DataFrame, per_language: int = 400) -> LanguageModel:
     """Fit on about ``per_language`` labelled documents a language; the sample is drawn by a hash of the id."""
     named = documents.select("doc_id", "text", label_language(F.col("lang")).alias("_l")).where(F.col("_l").isin(*LANGUAGES))
     sizes = {r["_l"]: r["n"] for r in named.groupBy("_l").agg(F.count(F.lit(1)).alias("n")).collect()}
-    slots = 1 << 20
-    share = F.create_map(*[F.lit(x) for lang in LANGUAGES for x in (lang, int(slots * min(1.0, per_language / max(1, sizes.get(lang, 0)))))])
-    sample = named.where(F.pmod(F.xxhash64("doc_id"), F.lit(slots)) < share[F.col("_l")]).select("_l", "text").toPandas()
+    below = F.create_map(*[F.lit(x) for lang in LANGUAGES for x in (lang, min((1 << 63) - 1, sample_below(sizes.get(lang, 0), per_language) - (1 << 63)))])
+    drawn = named.where(F.col("doc_id").isNotNull() & (F.xxhash64("doc_id") < below[F.col("_l")]))
+    sample = drawn.select("_l", "text").limit(4 * per_language * len(LANGUAGES)).toPandas()  # the limit only tells if one id holds very many rows
+    scripts = Scripts()
     texts = [prose(t) if t else "" for t in sample["text"]]
-    bags = [[w.lower() for w in _WORD.findall(t) if _LATIN.match(w) and (w.islower() or w.istitle())] for t in texts]
+    bags = [[w.lower() for w in _WORD.findall(t) if scripts.candidates(w.lower()) and (w.islower() or w.istitle())] for t in texts]
     labels = list(sample["_l"])
     for again in (True, False):
         counts: dict[str, Counter] = {lang: Counter() for lang in LANGUAGES}

@@ -36,8 +36,8 @@ PARAGRAPH, SENTENCE, LINE, WORD, HARD, END = "paragraph", "sentence", "line", "w
 
 
 def token_prefix(n: int) -> np.ndarray:
-    """Prefix sums of token costs, in quarter tokens so that they stay integers."""
-    return np.arange(n + 1, dtype=np.int64) * (4 // CHARS_PER_TOKEN)
+    """Prefix sums of token costs in code points, of which a token has ``CHARS_PER_TOKEN``, so that they stay integers."""
+    return np.arange(n + 1, dtype=np.int64)
 
 
 class Boundaries:
@@ -84,7 +84,7 @@ def split(text: str, max_tokens: int = MAX_TOKENS, overlap: int = OVERLAP_TOKENS
     """Pieces (start, end, kind of boundary at the end) of a text over the limit, else none."""
     n = len(text)
     prefix = token_prefix(n)
-    limit, back = 4 * max_tokens, 4 * overlap
+    limit, back = CHARS_PER_TOKEN * max_tokens, CHARS_PER_TOKEN * overlap
     if prefix[n] <= limit:
         return []
     b = Boundaries(text)
@@ -128,7 +128,7 @@ def split(text: str, max_tokens: int = MAX_TOKENS, overlap: int = OVERLAP_TOKENS
 
 def improper(text: str, pieces: Sequence[tuple[int, int, int]], max_tokens: int = MAX_TOKENS, overlap: int = OVERLAP_TOKENS) -> bool:
     """Whether stored pieces (index, start, end) are no proper cutting of the text (TESTDATA, p5_found)."""
-    n, limit, back = len(text), 4 * max_tokens, 4 * overlap
+    n, limit, back = len(text), CHARS_PER_TOKEN * max_tokens, CHARS_PER_TOKEN * overlap
     cut = sorted(pieces)
     if not cut or [c[0] for c in cut] != list(range(len(cut))) or cut[0][1] != 0 or cut[-1][2] != n:
         return True

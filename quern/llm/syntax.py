@@ -2,22 +2,23 @@
 
 A lexer of the language with a pushdown stack finds unterminated literals, unbalanced delimiters,
 premature ends and merge-conflict markers; a parser over its tokens finds what else cannot stand where
-it does (misspelt keywords, another language's text). For Python and JSON the exact check behind the
-lexer is the language's own parser.
+it does (misspelt keywords, another language's text). JSON is decided by its lexer and a pushdown automaton of
+its whole grammar. Python texts that pass the lexer and stack meet the grammar of the interpreter that runs
+the workers, so which version's syntax counts is that of the cluster's Python.
 
 Defined results
 * null contents and other extensions are no cases; empty and blank code files are valid, an empty JSON
   text is not (a JSON text holds one value);
 * conflict markers inside comments, strings and templates are text;
-* nesting too deep for a recursive parser is judged by the lexer alone;
+* Python text nested deeper than its own parser goes is judged by the lexer and stack alone;
 * repeated rows are judged row by row; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import ast
-import json
 import re
+import sys
 import warnings
 from collections.abc import Iterator
 
@@ -35,38 +36,98 @@ _PYTHON = re.compile(
     r"|(?P<string>[A-Za-z]{0,2}(?:\"(?!\"\")(?:\\[\s\S]|[^\"\\\n])*\"|'(?!'')(?:\\[\s\S]|[^'\\\n])*'|\"\"(?!\")|''(?!')))"
     r"|(?P<name>\w+)|(?P<open>[(\[{])|(?P<close>[)\]}])|(?P<quote>[\"'])|(?P<other>.)"
 )
+#: The tokens of strict JSON (RFC 8259).
 _JSON = re.compile(
-    r"(?P<space>[ \t\r]+)|(?P<nl>\n)|(?P<string>\"(?:\\.|[^\"\\\n])*\")|(?P<value>-?\d[\d.eE+-]*|true|false|null)|(?P<open>[\[{])|(?P<close>[\]}])|(?P<mark>[,:])|(?P<quote>\")|(?P<other>.)"
+    r"(?P<space>[ \t\r\n]+)|(?P<value>\"(?:[^\"\\\x00-\x1f]|\\[\"\\/bfnrt]|\\u[0-9a-fA-F]{4})*\"|-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?(?![\w.+-])|(?:true|false|null)(?!\w))|(?P<open>[\[{])|(?P<close>[\]}])|(?P<mark>[,:])"
 )
 _PAIR = {"(": ")", "[": "]", "{": "}"}
 
 
-def _scan(text: str, table: re.Pattern) -> None:
-    """The lexer and delimiter stack of Python and JSON texts."""
+def _scan(text: str) -> None:
+    """The lexer and delimiter stack of Python texts."""
     stack: list[tuple[str, int]] = []
-    line, pos = 1, 0
-    while pos < len(text):
-        if (pos == 0 or text[pos - 1] == "\n") and text[pos] in "<>|=" and CONFLICT.match(text, pos):
+    line, pos, match, n = 1, 0, _PYTHON.match, len(text)
+    conflict = CONFLICT.search(text) is not None
+    while pos < n:
+        if conflict and (pos == 0 or text[pos - 1] == "\n") and text[pos] in "<>|=" and CONFLICT.match(text, pos):
             raise Broken("conflict_marker", line, text[pos : pos + 40].split("\n")[0])
-        m = table.match(text, pos)
-        kind, value, pos = m.lastgroup, m.group(), m.end()
-        if kind == "quote":
+        m = match(text, pos)
+        kind, pos = m.lastgroup, m.end()
+        if kind == "nl":
+            line += 1
+        elif kind == "triple" or kind == "join":
+            line += m.group().count("\n")
+        elif kind == "quote":
             raise Broken("unterminated_literal", line, "string")
-        if kind == "open":
-            stack.append((value, line))
+        elif kind == "open":
+            stack.append((m.group(), line))
         elif kind == "close":
+            value = m.group()
             if not stack:
                 raise Broken("unbalanced_delimiter", line, f"{value!r} closes nothing")
             opened, at = stack.pop()
             if _PAIR[opened] != value:
                 raise Broken("unbalanced_delimiter", line, f"{value!r} does not match {opened!r} of line {at}")
-        line += value.count("\n")
+        elif kind == "string":
+            line += m.group().count("\n")
     if stack:
         raise Broken("premature_end", line, f"{stack[-1][0]!r} of line {stack[-1][1]} stays open")
 
 
-def _no_constant(name: str) -> None:
-    raise ValueError(f"{name} is no JSON value")
+#: The pushdown automaton of JSON: what may come where (value, key, colon, comma or end of the innermost container).
+_VALUE, _KEY, _COLON, _MORE = "value", "key", "':'", "',' or an end"
+
+
+def _json(text: str) -> None:
+    """The whole grammar of JSON: tokens and a stack of open containers; a text holds one value."""
+    stack: list[tuple[str, int]] = []
+    want, fresh = _VALUE, False  # fresh: right behind an opening sign, where its closing one may stand
+    pos, n, match = 0, len(text), _JSON.match
+    line_at = lambda p: text.count("\n", 0, p) + 1
+    while pos < n:
+        m = match(text, pos)
+        if m is None:
+            if text[pos] in "<>|=" and (pos == 0 or text[pos - 1] == "\n") and CONFLICT.match(text, pos):
+                raise Broken("conflict_marker", line_at(pos), text[pos : pos + 40].split("\n")[0])
+            if text[pos] == '"':
+                raise Broken("unterminated_literal", line_at(pos), "string")
+            raise Broken("bad_token", line_at(pos), text[pos : pos + 20].split("\n")[0])
+        kind = m.lastgroup
+        if kind == "space":
+            pos = m.end()
+            continue
+        value = m.group()
+        if kind == "close":
+            if not stack:
+                raise Broken("unbalanced_delimiter", line_at(pos), f"{value!r} closes nothing")
+            opened, at = stack.pop()
+            if _PAIR[opened] != value:
+                raise Broken("unbalanced_delimiter", line_at(pos), f"{value!r} does not match {opened!r} of line {line_at(at)}")
+            if not (fresh or want == _MORE):
+                raise Broken("unexpected_token", line_at(pos), f"{value!r} where {want} is due")
+            want, fresh = _MORE, False
+        elif want == _MORE:
+            if value != "," or not stack:
+                raise Broken("unexpected_token", line_at(pos), f"{value[:20]!r} behind a whole value" if not stack else f"{value[:20]!r} where {want} is due")
+            want, fresh = (_KEY if stack[-1][0] == "{" else _VALUE), False
+        elif want == _COLON:
+            if value != ":":
+                raise Broken("unexpected_token", line_at(pos), f"{value[:20]!r} where {want} is due")
+            want = _VALUE
+        elif want == _KEY:
+            if kind != "value" or value[0] != '"':
+                raise Broken("unexpected_token", line_at(pos), f"{value[:20]!r} where a {want} is due")
+            want, fresh = _COLON, False
+        elif kind == "open":
+            stack.append((value, pos))
+            want, fresh = (_KEY if value == "{" else _VALUE), True
+        elif kind == "value":
+            want, fresh = _MORE, False
+        else:
+            raise Broken("unexpected_token", line_at(pos), f"{value!r} where a {want} is due")
+        pos = m.end()
+    if stack or want != _MORE:
+        raise Broken("premature_end", line_at(n), f"{stack[-1][0]!r} of line {line_at(stack[-1][1])} stays open" if stack else "no value")
 
 
 def _python(text: str) -> None:
@@ -83,41 +144,56 @@ def _python(text: str) -> None:
         raise Broken("bad_token", 1, str(e)) from None
 
 
-def _json(text: str) -> None:
+_FSTRING = re.compile(r"\b(?:[fF][rR]?|[rR][fF])[\"']")
+
+
+def _parsed(text: str, language: str) -> None:
+    """The lexer, stack and parser of a language; a text nested too deeply for the usual recursion gets as much as its length may need."""
     try:
-        json.loads(text, parse_constant=_no_constant, parse_int=str, parse_float=str)
-    except ValueError as e:
-        line = getattr(e, "lineno", 1)
-        end = getattr(e, "pos", 0) >= len(text.rstrip())
-        raise Broken("premature_end" if end else "unexpected_token", line, str(e).split(":")[0]) from None
+        check(text, language)
+    except RecursionError:
+        usual = sys.getrecursionlimit()
+        sys.setrecursionlimit(usual + 60 * len(text))
+        try:
+            check(text, language)
+        finally:
+            sys.setrecursionlimit(usual)
 
 
 def fault(text: str, kind: str) -> tuple[str, int, str] | None:
     """(kind, line, message) of what makes a text invalid in a language, None if it is valid."""
-    exact = {"python": _python, "json": _json}.get(kind)
     found: Broken | None = None
-    if exact is None:
-        try:
-            check(text, {"javascript": "js", "typescript": "ts"}.get(kind, kind)) if text.strip() else None
-        except Broken as e:
-            found = e
-        except RecursionError:
-            found = None
-    else:
-        hint: Broken | None = None
-        try:
-            _scan(text, _PYTHON if kind == "python" else _JSON)
-        except Broken as e:
-            hint = e
-        try:
-            exact(text)
-        except Broken as e:
-            found = hint or e
-        except (RecursionError, MemoryError):
-            found = hint
+    try:
+        if kind == "json":
+            _json(text)
+        elif kind == "python":
+            if text.strip():
+                _python_text(text)
+        elif text.strip():
+            _parsed(text, {"javascript": "js", "typescript": "ts"}.get(kind, kind))
+    except Broken as e:
+        found = e
     return (found.kind, found.line, found.message[:200]) if found else None
 
 
+def _python_text(text: str) -> None:
+    """What the lexer and stack find decides; what passes them, and quotes nested in f-strings, goes to the parser."""
+    hint: Broken | None = None
+    try:
+        _scan(text)
+    except Broken as e:
+        if not _FSTRING.search(text):
+            raise
+        hint = e
+    try:
+        _python(text)
+    except Broken as e:
+        raise hint or e from None
+    except (RecursionError, MemoryError):
+        if hint:
+            raise hint from None
+
+
 def broken_files(files: DataFrame) -> DataFrame:
     """(file_id, repository, path, language, error_type, line_no, message) of every file that does not parse."""
     claimed = files.select(
