@@ -23,8 +23,10 @@ class Broken(Exception):
 
 CONFLICT = re.compile(r"(?:<{7}|>{7}|\|{7})(?:[ \t].*)?$|={7}[ \t\r]*$", re.M)
 _CLOSE = {"(": ")", "[": "]", "{": "}"}
+_OPENS, _CLOSES = frozenset("([{"), frozenset(")]}")
 
-_SPACE = r"(?P<space>[^\S\n]+|﻿)|(?P<nl>\n)"
+_BLANK = r" \t\r\f\v\x1c-\x1f\x85\xa0  -     　﻿"
+_SPACE = rf"[{_BLANK}]*"
 _DOUBLE = r'"(?:\\(?:\r\n|[\s\S])|[^"\\\n])*"'
 _SINGLE = r"'(?:\\(?:\r\n|[\s\S])|[^'\\\n])*'"
 _JS_NUMBER = r"0[xX][\da-fA-F](?:_?[\da-fA-F])*n?|0[oO][0-7](?:_?[0-7])*n?|0[bB][01](?:_?[01])*n?|(?:(?:0|[1-9](?:_?\d)*)(?:\.(?:\d(?:_?\d)*)?)?|\.\d(?:_?\d)*)(?:[eE][+-]?\d+)?n?"
@@ -35,10 +37,13 @@ _JAVA_OPS = r"\.\.\.|->|::|==|!=|<=|&&|\|\||\+\+|--|\+=|-=|\*=|/=|%=|&=|\|=|\^=|
 _GO_OPS = r"\.\.\.|<<=|>>=|&\^=|&&|\|\||<-|\+\+|--|==|!=|<=|>=|:=|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|>>|&\^|[{}()\[\];,<>+\-*/%&|^!=:.~]"
 
 
+_BLANKS, _NOT_BLANK = re.compile(_SPACE), re.compile(rf"[^{_BLANK}]")
+
+
 def _table(number: str, ops: str, *literals: str) -> re.Pattern:
     text = "|".join(f"(?P<string{i}>{x})" for i, x in enumerate(literals))
     return re.compile(
-        rf"{_SPACE}|(?P<line>//[^\n]*)|(?P<block>/\*[\s\S]*?\*/)|(?P<number>(?:{number}))|(?P<name>[^\W\d][\w$]*|\$[\w$]*|\\u[\da-fA-F]{{4}}[\w$]*)|{text}|(?P<op>{ops})"
+        rf"{_SPACE}(?:(?P<name>[^\W\d][\w$]*|\$[\w$]*|\\u[\da-fA-F]{{4}}[\w$]*)|(?P<nl>\n)|(?P<line>//[^\n]*)|(?P<block>/\*[\s\S]*?\*/)|(?P<number>(?:{number}))|{text}|(?P<op>{ops}))"
     )
 
 
@@ -60,6 +65,8 @@ class Lexer:
         self.tokens: list[tuple] = []
         self.match: dict[int, int] = {}
         self.line, self.pos = 1, 0
+        self.end = next((k + 1 for k in range(len(text) - 1, -1, -1) if _NOT_BLANK.match(text[k])), 0)
+        self.conflict = CONFLICT.search(text) is not None
 
     def run(self) -> None:
         text = self.text
@@ -75,73 +82,83 @@ class Lexer:
         """Up to the end, or to the brace that ends a template's substitution."""
         text, js, go = self.text, self.language == "js", self.language == "go"
         stack: list[tuple[str, int, int]] = []
-        fresh = at_line = True
-        glued = False
-        match = self.table.match
-        while self.pos < len(text):
-            pos = self.pos
-            if (pos == 0 or text[pos - 1] == "\n") and text[pos] in "<>|=" and CONFLICT.match(text, pos):
+        fresh, glued = True, False
+        match, tokens, end = self.table.match, self.tokens, self.end
+        while self.pos < end:
+            at = self.pos
+            m = match(text, at)
+            if m is None:
+                at += len(_BLANKS.match(text, at).group())
+                kind, pos = None, at
+            else:
+                kind = m.lastgroup
+                pos = m.start(kind)
+            c = text[pos]
+            if pos > at:
+                glued = False
+            if self.conflict and c in "<>|=" and (pos == 0 or text[pos - 1] == "\n") and CONFLICT.match(text, pos):
                 self._fail("conflict_marker", text[pos : pos + 40].split("\n")[0])
-            m = match(text, pos)
-            kind = m.lastgroup if m else None
-            if js and text[pos] == "`":
-                self._template(fresh)
-                fresh = glued = False
-                glued = True
-                continue
-            if js and text[pos] == "/" and kind == "op" and not self._operand_before():
-                if not (m := _REGEX.match(text, pos)):
-                    self._fail("unterminated_literal", "regular expression")
-                kind = "regex"
+            if js:
+                if c == "`":
+                    self.pos = pos
+                    self._template(fresh)
+                    fresh, glued = False, True
+                    continue
+                if c == "/" and kind == "op" and not self._operand_before():
+                    if not (m := _REGEX.match(text, pos)):
+                        self._fail("unterminated_literal", "regular expression")
+                    kind = "regex"
             if kind is None:
                 if text.startswith("/*", pos):
                     self._fail("unterminated_literal", "comment")
-                if text[pos] in "\"'`":
+                if c in "\"'`":
                     self._fail("unterminated_literal", "string")
-                self._fail("bad_token", repr(text[pos]))
-            value, self.pos = m.group(), m.end()
-            if kind == "space":
+                self._fail("bad_token", repr(c))
+            self.pos = m.end()
+            if kind == "nl":
+                glued = False
+                if go and not fresh:
+                    self._semicolon()
+                self.line += 1
+                fresh = True
+                continue
+            value = m.group() if kind == "regex" else m.group(kind)
+            if kind == "op":
+                kind = PUNCT
+                if value in _OPENS:
+                    stack.append((value, len(tokens), self.line))
+                elif value in _CLOSES:
+                    if not stack:
+                        if until == value:
+                            self.pos = pos
+                            return
+                        self._fail("unbalanced_delimiter", f"{value!r} closes nothing")
+                    opened, opened_at, line = stack.pop()
+                    if _CLOSE[opened] != value:
+                        self._fail("unbalanced_delimiter", f"{value!r} does not match {opened!r} of line {line}")
+                    self.match[opened_at] = len(tokens)
+                elif value == "/" and text.startswith("/*", pos):
+                    self._fail("unterminated_literal", "comment")
+            elif kind == "name":
+                if go and "$" in value:
+                    self._fail("bad_token", value)
+            elif kind == "line":
                 glued = False
                 continue
-            if kind in ("nl", "line", "block"):
+            elif kind == "block":
                 glued = False
-                if kind == "line":
-                    continue
                 if "\n" in value:
                     if go and not fresh:
                         self._semicolon()
                     self.line += value.count("\n")
                     fresh = True
                 continue
-            if kind == "op" and value == "/" and text.startswith("/*", pos):
-                self._fail("unterminated_literal", "comment")
-            if kind == "number":
+            elif kind == "number":
                 if self.pos < len(text) and (text[self.pos].isalnum() or text[self.pos] in "_$"):
                     self._fail("bad_token", text[pos : self.pos + 10])
-                kind = NUMBER
-            elif kind == "name":
-                kind = NAME
-                if not js and "$" in value and go:
-                    self._fail("bad_token", value)
-            elif kind.startswith("string"):
+            elif kind != "regex":
                 kind = STRING
-            elif kind == "regex":
-                kind = REGEX
-            else:
-                kind = PUNCT
-                if value in "([{":
-                    stack.append((value, len(self.tokens), self.line))
-                elif value in ")]}":
-                    if not stack:
-                        if until == value:
-                            self.pos = pos
-                            return
-                        self._fail("unbalanced_delimiter", f"{value!r} closes nothing")
-                    opened, at, line = stack.pop()
-                    if _CLOSE[opened] != value:
-                        self._fail("unbalanced_delimiter", f"{value!r} does not match {opened!r} of line {line}")
-                    self.match[at] = len(self.tokens)
-            self.tokens.append((kind, value, self.line, fresh, glued))
+            tokens.append((kind, value, self.line, fresh, glued))
             if kind == STRING and "\n" in value:
                 self.line += value.count("\n")
             fresh, glued = False, True

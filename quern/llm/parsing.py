@@ -43,7 +43,7 @@ class Parser:
         raise Broken("unexpected_token", line, f"{value if isinstance(value, str) else 'template'} {message}".strip()[:80])
 
     def eat(self, *values: str) -> bool:
-        if self.value in values and self.value:
+        if self.tokens[self.i][1] in values:  # other kinds' values keep their quotes and equal none of these
             self.i += 1
             return True
         return False

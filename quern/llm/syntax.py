@@ -30,11 +30,12 @@ from quern.llm.lexing import CONFLICT, Broken
 from quern.llm.parsing import check
 from quern.llm.sources import clean_path, extension, language
 
+#: Python as far as the stack needs it: literals, comments, delimiters, line ends, and stretches of anything else.
 _PYTHON = re.compile(
-    r"(?P<space>[^\S\n]+)|(?P<nl>\n)|(?P<comment>#[^\n]*)|(?P<join>\\\r?\n)"
-    r"|(?P<triple>[A-Za-z]{0,2}(?:\"\"\"(?:\\[\s\S]|(?!\"\"\")[^\\])*\"\"\"|'''(?:\\[\s\S]|(?!''')[^\\])*'''))"
-    r"|(?P<string>[A-Za-z]{0,2}(?:\"(?!\"\")(?:\\[\s\S]|[^\"\\\n])*\"|'(?!'')(?:\\[\s\S]|[^'\\\n])*'|\"\"(?!\")|''(?!')))"
-    r"|(?P<name>\w+)|(?P<open>[(\[{])|(?P<close>[)\]}])|(?P<quote>[\"'])|(?P<other>.)"
+    r"(?P<plain>[^\"'#()\[\]{}\\\n]+)|(?P<nl>\n)|(?P<comment>#[^\n]*)|(?P<join>\\\r?\n)"
+    r"|(?P<triple>\"\"\"(?:\\[\s\S]|(?!\"\"\")[^\\])*\"\"\"|\'\'\'(?:\\[\s\S]|(?!\'\'\')[^\\])*\'\'\')"
+    r"|(?P<string>\"(?!\"\")(?:\\[\s\S]|[^\"\\\n])*\"|'(?!'')(?:\\[\s\S]|[^'\\\n])*'|\"\"(?!\")|''(?!'))"
+    r"|(?P<open>[(\[{])|(?P<close>[)\]}])|(?P<quote>[\"'])|(?P<other>.)"
 )
 #: The tokens of strict JSON (RFC 8259).
 _JSON = re.compile(
