@@ -154,7 +154,7 @@ FROM done FULL JOIN c ON done.collection_name = c.collection_name""",
     "repair_plan": """WITH dsk AS (SELECT DISTINCT 'kb_' || replace(source, '-', '_') AS collection_name, file_path FROM documents WHERE deleted_at IS NULL AND source IS NOT NULL),
 idx AS (SELECT DISTINCT collection_name, file_path FROM chroma_entries WHERE deleted_at IS NULL)
 SELECT *, 'embed' AS action FROM (SELECT * FROM dsk EXCEPT SELECT * FROM idx) UNION ALL SELECT *, 'delete' FROM (SELECT * FROM idx EXCEPT SELECT * FROM dsk)""",
-    "event_max_wait": """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_ms(ts) AS ms, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events),
+    "event_max_wait": """WITH RECURSIVE e AS (SELECT user_id, event_id, CAST(floor(epoch_us(ts) / 1000) AS BIGINT) AS ms, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events),
 w AS (SELECT user_id, r, event_id, ms, ms AS started, 1 AS piece FROM e WHERE r = 1
   UNION ALL SELECT e.user_id, e.r, e.event_id, e.ms, CASE WHEN e.ms - w.ms >= 21600000 OR e.ms - w.started >= 86400000 THEN e.ms ELSE w.started END,
     CASE WHEN e.ms - w.ms >= 21600000 OR e.ms - w.started >= 86400000 THEN w.piece + 1 ELSE w.piece END FROM w JOIN e ON e.user_id = w.user_id AND e.r = w.r + 1)
