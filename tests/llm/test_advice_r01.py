@@ -42,3 +42,13 @@ def test_blobs_with_many_names_are_data():
     assert why(code + 'DATA = "' + "Ab3d" * 10 + '"\n', "python") is None
     rows = "".join(f"  {k}: [{', '.join(str(i * 37 % 9973) for i in range(n, n + 40))}],\n" for n, k in enumerate("alpha beta gamma delta epsilon zeta eta theta iota".split()))
     assert why(f"export const table = {{\n{rows}}};\n", "typescript") == "data"
+
+
+def test_headers_glued_passwords_and_literals_over_lines_are_candidates():
+    values = lambda t, p="x.sh": {(c.line, c.value) for c in secrets.candidates(t, p)}
+    assert (1, "3X2hfK2DMzVyzxtCAzU9") in values("curl -H 'X-Api-Key: 3X2hfK2DMzVyzxtCAzU9' https://h.invalid/v1\n")
+    assert (1, "D8QlQpgUf4bK3") in values("mysqldump -u ingest -pD8QlQpgUf4bK3 kb > dump.sql\n") and not any(v == "x" for _, v in values("mkdir -p x/y\n"))
+    assert (2, "abcZk39fQ1x") in values('x = 1;\nconst key = "abc" +\n  "Zk39fQ1x";\n', "a.js") and (1, "abcZk39fQ1x") in values('key = ("abc"\n       "Zk39fQ1x")\n', "a.py")
+    assert (1, "Zk39fQ1xPw") in values('deploy --password Zk39fQ1xPw\n') and (1, "pa55word77") in values("curl -u bob:pa55word77 http://h\n")
+    long = "a = 1; " * 30_000 + 'token = "Zk39fQ1xPw88";'
+    assert (1, "Zk39fQ1xPw88") in values(long, "a.js")
