@@ -40,9 +40,27 @@ def code_graph_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def code_file_dependents(spark: SparkSession, d: str) -> DataFrame:
-    """Impact of every file: which files import it, directly and through others."""
+    """How much depends on each file: files that import it, and the score of all that do so through others."""
     nodes, edges = C.build_graph(_files(spark, d))
-    return G.impact(nodes.where("label = 'File'").select("id"), edges.where(F.col("dst").startswith("File:")), ("IMPORTS",))
+    return G.impact_scores(nodes.where("label = 'File'").select("id"), edges.where(F.col("dst").startswith("File:")), ("IMPORTS",))
+
+
+def code_metadata(spark: SparkSession, d: str) -> DataFrame:
+    """Functions and methods with parameters, result, flags and documentation."""
+    return C.signatures(C.parsed(_files(spark, d), "metadata"))
+
+
+def code_entities_exported(spark: SparkSession, d: str) -> DataFrame:
+    return C.filter_entities(C.parsed(_files(spark, d), "entities"), ("class", "function", "interface"), True)
+
+
+def code_imports_filtered(spark: SparkSession, d: str) -> DataFrame:
+    """Imports of the repositories' own files with their types, side effects left out."""
+    return C.import_kinds(C.filter_imports(C.parsed(_files(spark, d), "imports"), external=False, side_effect=False))
+
+
+def code_exports_own(spark: SparkSession, d: str) -> DataFrame:
+    return C.filter_exports(C.parsed(_files(spark, d), "exports"), False)
 
 
 QUERIES = {
@@ -53,6 +71,10 @@ QUERIES = {
     "code_errors": code_errors,
     "code_graph_counts": code_graph_counts,
     "code_file_dependents": code_file_dependents,
+    "code_metadata": code_metadata,
+    "code_entities_exported": code_entities_exported,
+    "code_imports_filtered": code_imports_filtered,
+    "code_exports_own": code_exports_own,
 }
 
 SQL: dict[str, str] = {}

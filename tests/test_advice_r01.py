@@ -38,4 +38,4 @@ def test_long_expressions_and_signatures_stay_whole():
     chain = "a." + ".".join(f"member{i}" for i in range(60))
     assert [c[1] for c in codegraph.parse(f"{chain}()\n", "python").calls] == [chain]
     head = f"function f({', '.join(f'parameter{i}' for i in range(60))})"
-    assert [e[5] for e in codegraph.parse(head + " {\n}\n", "javascript").entities] == [head]
+    assert [e.signature for e in codegraph.parse(head + " {\n}\n", "javascript").entities] == [head]
