@@ -1,10 +1,12 @@
 """Encoding a corpus with a public byte-level BPE vocabulary by corpus-level merge replay.
 
-A block of texts is cut into chunks at single spaces, then into pre-tokens; the block's distinct
-pre-tokens that the worker has not met yet form one table of symbols. An inverted index leads from each
-mergeable pair to the positions where it stands; the merges are applied in rank order, each at all its
-positions, and only the pairs of touched neighbours are indexed anew. Each distinct word is thus encoded
-once a block and worker, whatever its number of occurrences, and nothing is shuffled.
+The distinct pre-tokens of the whole corpus are gathered first, each once. Its table of words is then encoded
+by replaying the merges: an inverted index leads from each mergeable pair to the positions where it stands;
+the merges are applied in rank order, each at all its positions, and only the pairs of touched neighbours
+are indexed anew. The index is split by a hash of the words, as merges never cross words. The encoded words go
+back to the texts by look-up: as many as ``known_bytes`` allow, the most frequent first, are sent to the
+executors; a word beyond that bound is replayed again with the new words of its block, with the same ids. So
+texts are scanned twice and never shuffled, whatever the size of the corpus or its vocabulary.
 
 Defined results
 * null and empty texts give an empty list; strings that look like special tokens are ordinary text;
@@ -18,12 +20,17 @@ import base64
 import json
 import re
 from array import array
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from heapq import heappop, heappush
 from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quern.session import checkpointed
+from quern.shipping import ship, unpack
 
 #: Fixed value: the pre-token pattern of this family of vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -74,6 +81,7 @@ class MergeReplay:
                         found.append((rank, vocab[token[:i]], vocab[token[i:]]))
             self.merges = [(a, b, r) for r, a, b in sorted(found)]
         self.rank = {a * _WIDTH + b: r for r, (a, b, _) in enumerate(self.merges)}
+        self.given: dict[str, tuple[int, ...]] = {}  # words of the corpus that came encoded
         self.words: dict[str, tuple[int, ...]] = {}
         self.chunks: dict[str, tuple[int, ...]] = {}  # behind a space
         self.heads: dict[str, tuple[int, ...]] = {}  # at the start of a text
@@ -126,7 +134,12 @@ class MergeReplay:
 
     def _learn(self, pieces: Iterable[str], into: dict[str, tuple[int, ...]], lead: str) -> None:
         cut = [(p, self.pretokens(lead + p)) for p in pieces]
-        fresh = list({w for _, ws in cut for w in ws}.difference(self.words))
+        fresh = {w for _, ws in cut for w in ws}.difference(self.words)
+        if self.given:
+            given = self.given
+            self.words.update((w, given[w]) for w in fresh if w in given)
+            fresh.difference_update(given)
+        fresh = list(fresh)
         self.words.update(zip(fresh, self.replay(fresh), strict=True))
         words = self.words
         for p, ws in cut:
@@ -154,13 +167,89 @@ class MergeReplay:
         return offsets, ids
 
 
-def encode_corpus(documents: DataFrame, path: str | None = None, block: int = 2000) -> DataFrame:
-    """(doc_id, ids) of every document; ``path`` names the vocabulary file, ``block`` the texts replayed together."""
+    def pretoken_counts(self, texts: list[str | None], into: dict[str, int]) -> None:
+        """Adds the pre-tokens of a block of texts, with their number, to a table."""
+        chunks: Counter = Counter()
+        for t in texts:
+            if t:
+                head, *rest = _SPACE.split(t)
+                for w in self.pretokens(head):
+                    into[w] = into.get(w, 0) + 1
+                chunks.update(rest)
+        for c, n in chunks.items():
+            for w in self.pretokens(" " + c):
+                into[w] = into.get(w, 0) + n
+
+
+def replayer(path: str) -> MergeReplay:
+    """The vocabulary, read once for all tasks of a Python worker that is used again."""
+    held = globals().setdefault("_REPLAYERS", {})
+    if path not in held:
+        held.clear()
+        held[path] = MergeReplay(path)
+    return held[path]
+
+
+def corpus_words(documents: DataFrame) -> DataFrame:
+    """(word, n): the distinct pre-tokens of the corpus; a worker folds its own before they are shuffled, in tables of bounded size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import regex
+
+        cut = MergeReplay.__new__(MergeReplay)
+        cut.pretokens = regex.compile(PATTERN).findall
+        held: dict[str, int] = {}
+        flush = lambda: pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
+        for b in batches:
+            found: dict[str, int] = {}
+            cut.pretoken_counts(b.column(0).to_pylist(), found)
+            for w, n in found.items():
+                k = w.encode("utf-8", "replace")
+                held[k] = held.get(k, 0) + n
+            if len(held) > 300_000:
+                yield flush()
+                held = {}
+        yield flush()
+
+    return documents.where("text is not null and text != ''").select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def encoded_words(words: DataFrame, path: str) -> DataFrame:
+    """(word, n, ids): each distinct word of the corpus encoded once, the words of a batch of rows by one replay of the merges."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = replayer(path)
+        for b in batches:
+            ids = bpe.replay([w.decode("utf-8", "replace") for w in b.column(0).to_pylist()])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.list_(pa.int32()))], ["word", "n", "ids"])
+
+    return words.mapInArrow(run, "word binary, n long, ids array<int>")
+
+
+def _within(words: DataFrame, known_bytes: int) -> DataFrame:
+    """The most frequent words whose table takes at most ``known_bytes`` in a worker: all if they fit, else those from a count on that does."""
+    cost = F.length("word") + 8 * F.size("ids") + 120
+    by_count = words.groupBy(F.floor(F.log2(F.col("n") + 0.5)).alias("_b")).agg(F.sum(cost).alias("_bytes")).orderBy(F.desc("_b")).collect()  # 64 rows at most
+    used, least = 0, None
+    for r in by_count:
+        if used + r["_bytes"] > known_bytes:
+            break
+        used, least = used + r["_bytes"], r["_b"]
+    return words.limit(0) if least is None else words.where(F.floor(F.log2(F.col("n") + 0.5)) >= least)
+
+
+def encode_corpus(documents: DataFrame, path: str | None = None, block: int = 2000, known_bytes: int = 64 << 20) -> DataFrame:
+    """(doc_id, ids) of every document; ``path`` names the vocabulary file, ``block`` the texts looked up together, ``known_bytes`` bounds the table of encoded words that is sent out."""
     path = path or vocabulary_path()
     kind = documents.schema["doc_id"].dataType.simpleString()
+    words = checkpointed(encoded_words(corpus_words(documents), path))
+    rows = _within(words, known_bytes).select("word", "ids").toPandas()
+    given = {w.decode("utf-8", "replace"): tuple(x.tolist()) for w, x in zip(rows["word"], rows["ids"], strict=True)}
+    shipped = ship(documents.sparkSession, given)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = MergeReplay(path)
+        bpe = replayer(path)
+        bpe.given = unpack(shipped)
         for batch in batches:
             for at in range(0, batch.num_rows, block):
                 part = batch.slice(at, block)

@@ -6,7 +6,7 @@ not checked. Each raises ``Broken`` at the first token that cannot stand where i
 
 from __future__ import annotations
 
-from quern.llm.lexing import END, GO_KEYWORDS, NAME, NUMBER, PUNCT, REGEX, STRING, TEMPLATE, Broken, Lexer
+from quern.syntax.lexing import END, GO_KEYWORDS, NAME, NUMBER, PUNCT, REGEX, STRING, TEMPLATE, Broken, Lexer
 
 
 class Parser:
@@ -14,11 +14,12 @@ class Parser:
 
     def __init__(self, tokens: list[tuple], match: dict[int, int]) -> None:
         self.tokens, self.match, self.i = tokens, match, 0
+        #: What a token is compared by: names and punctuation as they stand, of other kinds nothing.
+        self.values = [t[1] if t[0] is NAME or t[0] is PUNCT or t[0] in (NAME, PUNCT) else "" for t in tokens]
 
     @property
     def value(self) -> str:
-        t = self.tokens[self.i]
-        return t[1] if t[0] in (NAME, PUNCT) else ""
+        return self.values[self.i]
 
     @property
     def kind(self) -> str:
@@ -29,9 +30,8 @@ class Parser:
         return self.tokens[self.i][3]
 
     def ahead(self, n: int = 1) -> str:
-        j = min(self.i + n, len(self.tokens) - 1)
-        t = self.tokens[j]
-        return t[1] if t[0] in (NAME, PUNCT) else ("" if t[0] != END else "\0")
+        j = self.i + n
+        return self.values[j] if j < len(self.values) - 1 else "\0"
 
     def ahead_kind(self, n: int = 1) -> str:
         return self.tokens[min(self.i + n, len(self.tokens) - 1)][0]
@@ -43,7 +43,7 @@ class Parser:
         raise Broken("unexpected_token", line, f"{value if isinstance(value, str) else 'template'} {message}".strip()[:80])
 
     def eat(self, *values: str) -> bool:
-        if self.tokens[self.i][1] in values:  # other kinds' values keep their quotes and equal none of these
+        if self.values[self.i] in values:
             self.i += 1
             return True
         return False

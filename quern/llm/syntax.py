@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.lexing import CONFLICT, Broken
+from quern.syntax.lexing import CONFLICT, Broken
 from quern.llm.parsing import check
 from quern.llm.sources import clean_path, extension, language
 

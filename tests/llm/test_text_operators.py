@@ -361,3 +361,58 @@ def test_compounds_keep_their_hyphen_among_many_words():
         assert not any(e.join(*w.split("-"), "-") for w in ("read-only", "well-known", "full-text"))
         wholes = [w for w in e.trusted if len(w) >= 8 and w.isalpha()][:50]
         assert all(e.join(w[:4], w[4:], s) for w in wholes for s in "-¬")
+
+
+def test_corpus_replay_gives_the_same_with_any_table(spark, bpe):
+    texts = [*ODD, "the same words the same words", "quite  other words, other ones", None, "zz" * 40]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = ids(bpe, texts)
+    words = {bytes(r.word).decode(): (r.n, list(r.ids)) for r in encoding.encoded_words(encoding.corpus_words(df), encoding.vocabulary_path()).collect()}
+    assert words[" same"][0] == 2 and words[" other"] == (2, want[texts.index("quite  other words, other ones")][-2:-1])
+    for known in (1 << 26, 400, 0):
+        got = {r.doc_id: r.ids for r in encoding.encode_corpus(df, block=3, known_bytes=known).collect()}
+        assert got == dict(enumerate(want))
+    assert encoding.encode_corpus(df.limit(0)).count() == 0
+
+
+def test_samples_neither_vanish_nor_grow():
+    from quern.llm.sources import sample_below
+
+    for n in (0, 10, 4_000, 10**6, 10**9, 10**11, 10**14):
+        share = sample_below(n, 4_000) / (1 << 64)
+        assert share == 1 if n <= 4_000 else abs(share * n - 4_000) < 1
+
+
+def test_scripts_narrow_the_candidates():
+    s = language.Scripts()
+    assert s.candidates("word") == set(language.LANGUAGES) and s.candidates("straße") == {"de"} and s.candidates("coração") == {"pt"} and s.candidates("niño") == {"es"}
+    assert not s.candidates("слово") and not s.candidates("λόγος") and not s.candidates("日本語") and not s.candidates("ñß")
+    from collections import Counter
+
+    model = language.LanguageModel({"en": Counter({"house": 9, "water": 9}), "de": Counter({"haus": 9, "wasser": 9})})
+    assert model.score("HAUS") is not None and model.score("XYZZY") is None and model.score("слово") is None
+    assert model.score("wäßer")[language.LANGUAGES.index("de")] == 0
+
+
+def test_json_automaton_agrees_with_the_library():
+    import json
+
+    def valid(t):
+        try:
+            json.loads(t, parse_constant=lambda n: 1 / 0)
+            return True
+        except (ValueError, ZeroDivisionError):
+            return False
+
+    rng = random.Random(6)
+    base = '{"a": [1, -2.5e3, "x\\\\u00e9\\\\n", null, true, {}], "b": {"c": [], "d": "e"}}'
+    for _ in range(4000):
+        k = rng.randrange(len(base))
+        t = base[:k] + rng.choice(list('{}[],:"\\\\ 01e-.+tfn\n')) + base[k + rng.randint(0, 2) :]
+        assert (syntax.fault(t, "json") is None) == valid(t), t
+
+
+def test_deep_nesting_is_parsed():
+    assert syntax.fault("if (a) {} " + "else if (a) {} " * 3000, "javascript") is None
+    assert syntax.fault("a = " + "[" * 2000 + "x y" + "]" * 2000, "javascript")[0] == "unexpected_token"
+    assert syntax.fault("x = f\"{d['a']} {d[\"b\"]}\"\n", "python") is None
