@@ -12,6 +12,20 @@ LANGUAGES = {
 }
 
 
+#: The extensions that a search for a language looks at.
+LANGUAGE_EXTENSIONS = {
+    "python": (".py", ".pyw", ".pyi"), "typescript": (".ts", ".tsx", ".mts", ".cts"), "javascript": (".js", ".jsx", ".mjs", ".cjs"), "java": (".java",), "csharp": (".cs",), "go": (".go",), "rust": (".rs",),
+    "ruby": (".rb",), "php": (".php",), "swift": (".swift",), "kotlin": (".kt", ".kts"), "scala": (".scala",), "c": (".c", ".h"), "cpp": (".cpp", ".hpp", ".cc", ".hh", ".cxx", ".hxx"), "markdown": (".md", ".mdx"),
+    "json": (".json",), "yaml": (".yaml", ".yml"), "html": (".html", ".htm"), "css": (".css", ".scss", ".sass", ".less"),
+}
+
+
+def language_of_extension(ext: Column) -> Column:
+    """The language that an extension belongs to in searches, null for others."""
+    known = F.create_map(*[F.lit(x) for lang, exts in LANGUAGE_EXTENSIONS.items() for e in exts for x in (e, lang)])
+    return known[F.lower(ext)]
+
+
 def estimate_tokens(c: Column) -> Column:
     """Token estimate: a quarter of the code points, rounded up."""
     return F.ceil(F.char_length(c) / 4).cast("long")

@@ -224,3 +224,10 @@ def ocr_summary(pages: DataFrame) -> DataFrame:
     return pages.groupBy("doc_id").agg(
         F.round(F.avg(F.when(read, F.col("confidence"))), 2).alias("confidence"), F.count(F.lit(1)).alias("n_pages"), F.count_if(~read).alias("n_skipped")
     )
+
+
+def strategy(docs: DataFrame) -> DataFrame:
+    """(doc_id, strategy) of documents (doc_id, text, n_pages): pages if there are any, else paragraphs if a blank line parts some, else lines; none without text."""
+    even = F.regexp_replace(F.col("text"), r"\r\n?", "\n")
+    blank = F.col("text").isNull() | ~F.col("text").rlike(r"\S")
+    return docs.select("doc_id", F.when(blank, "none").when(F.coalesce("n_pages", F.lit(0)) > 0, "pages").when(F.contains(even, F.lit("\n\n")), "paragraphs").otherwise("lines").alias("strategy"))

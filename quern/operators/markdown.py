@@ -277,3 +277,23 @@ def nearest_heading(positions: DataFrame, heads: DataFrame) -> DataFrame:
     b = heads.select("doc_id", F.col("start_offset").alias("offset"), F.lit(0).alias("_kind"), F.col("title").alias("_t"), *[F.lit(None).cast(positions.schema[c].dataType).alias(c) for c in extra])
     w = Window.partitionBy("doc_id").orderBy("offset", "_kind").rowsBetween(Window.unboundedPreceding, 0)
     return a.unionByName(b).withColumn("heading", F.last("_t", ignorenulls=True).over(w)).where("_kind = 1").select("doc_id", "offset", *extra, "heading")
+
+
+def breadcrumbs(positions: DataFrame, heads: DataFrame) -> DataFrame:
+    """Positions (doc_id, offset, ...) with ``breadcrumb``: the last heading at or before each and those above it, outermost first.
+
+    Above a heading stand, level by level, the last headings of a lower level before the position. A document's
+    headings of each level run along with the positions in one window.
+    """
+    extra = [c for c in positions.columns if c not in ("doc_id", "offset")]
+    blank = {c: F.lit(None).cast(positions.schema[c].dataType).alias(c) for c in extra}
+    a = positions.select("doc_id", "offset", F.lit(1).alias("_kind"), F.lit(None).cast("int").alias("_level"), F.lit(None).cast("string").alias("_t"), *extra)
+    b = heads.select("doc_id", F.col("start_offset").alias("offset"), F.lit(0).alias("_kind"), F.col("level").alias("_level"), F.col("title").alias("_t"), *[blank[c] for c in extra])
+    w = Window.partitionBy("doc_id").orderBy("offset", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    last = {f"_l{k}": F.last(F.when(F.col("_level") == k, F.struct("offset", "_t")), ignorenulls=True).over(w) for k in range(1, 7)}
+    leaf = F.last(F.when(F.col("_kind") == 0, F.col("_level")), ignorenulls=True).over(w)
+    at = a.unionByName(b).withColumns({**last, "_leaf": leaf}).where("_kind = 1")
+    # a heading is left behind by a later one of a lower level
+    held = [F.greatest(F.lit(-1), *[F.col(f"_l{j}.offset") for j in range(1, k)]) if k > 1 else F.lit(-1) for k in range(1, 7)]
+    path = F.array_compact(F.array(*[F.when((F.lit(k) <= F.col("_leaf")) & (F.col(f"_l{k}.offset") > held[k - 1]), F.col(f"_l{k}._t")) for k in range(1, 7)]))
+    return at.select("doc_id", "offset", *extra, F.nullif(F.array_join(path, " > "), F.lit("")).alias("breadcrumb"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.functions import text as T
 from quern.operators import vectors as V
 from quern.operators.orphans import uuid_key
 from quern.plans import predicates as P
@@ -100,7 +101,56 @@ def watch_filter(spark: SparkSession, d: str) -> DataFrame:
     return joined.where(P.watched(F.col("file_path"), F.col("include_patterns"), F.col("exclude_patterns"))).select("doc_id", "folder_name")
 
 
+def vector_index(spark: SparkSession, d: str) -> DataFrame:
+    """Search over the cells of an index that is fitted here."""
+    df = _vectors(spark, d).select("vec_id", "embedding")
+    return V.top_k_indexed(df, _queries(df), V.Cells.fit(df), 10, 0.6)
+
+
+def vector_euclidean(spark: SparkSession, d: str) -> DataFrame:
+    """Distances of the queries to the vectors of the ten ids behind theirs."""
+    df = _vectors(spark, d)
+    q = _queries(df).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("_q"))
+    near = q.withColumn("vec_id", F.explode(F.sequence(F.col("query_id") + 1, F.col("query_id") + 10)))
+    return near.join(df, "vec_id").select("query_id", "vec_id", F.round(V.euclidean(F.col("embedding"), F.col("_q")), 4).alias("distance"))
+
+
+def vector_source_counts(spark: SparkSession, d: str) -> DataFrame:
+    return V.source_counts(vector_merge_sources(spark, d))
+
+
+def search_projection(spark: SparkSession, d: str) -> DataFrame:
+    """Index entries as search results, of other sources than these with metadata missing."""
+    e = table(spark, d, "chroma_entries", "chromadb_id", "file_path", "collection_name", "chunk_index", "deleted_at").where("deleted_at is null")
+    gone = F.pmod(F.col("chunk_index"), F.lit(3)) == 1
+    rows = e.select(F.when(~gone, F.col("file_path")).alias("file_path"), F.col("collection_name").alias("repository"), F.when(~gone, F.col("chunk_index")).alias("chunk_index"), T.extension(F.col("file_path")).alias("file_extension"))
+    return V.project_results(rows).groupBy("file_path", "language", "chunk_index").agg(F.count(F.lit(1)).alias("n"))
+
+
+def language_filter(spark: SparkSession, d: str) -> DataFrame:
+    """Files that searches for each of some languages look at; the last one is not known and keeps all."""
+    f = table(spark, d, "file_inputs", "file_id", "path").withColumn("file_extension", T.extension(F.col("path")))
+    parts = [f.where(P.language(x)).groupBy().agg(F.count(F.lit(1)).alias("n")).select(F.lit(x).alias("language"), "n") for x in ("Python", "typescript", "javascript", "markdown", "yaml", "klingon")]
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+def provider_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Repositories by embedding space (made of their source and counts)."""
+    r = table(spark, d, "repositories", "repo_name", "source", "file_count")
+    g = V.provider_groups(r.select("repo_name", F.col("source").alias("provider"), F.lit("m").alias("model"), F.when(F.col("file_count") % 2 == 0, 64).otherwise(32).alias("dimensions")))
+    return g.select("provider", "model", "dimensions", F.array_join("repositories", ",").alias("repositories"))
+
+
 QUERIES = {
+    "vector_index": vector_index,
+    "vector_euclidean": vector_euclidean,
+    "vector_source_counts": vector_source_counts,
+    "search_projection": search_projection,
+    "language_filter": language_filter,
+    "provider_groups": provider_groups,
     "vector_topk": vector_topk,
     "vector_topk_strict": vector_topk_strict,
     "vector_topk_filtered": vector_topk_filtered,
@@ -131,7 +181,20 @@ WHERE rank <= {k}"""
 _GLOB = "'^' || replace(replace(replace(replace(replace(replace(regexp_replace(p, '([.+^$()|{{}}\\[\\]])', '\\\\\\1', 'g'), '**/', chr(1)), '**', chr(2)), '*', '[^/]*'), '?', '[^/]'), chr(1), '(.*/)?'), chr(2), '.*') || '$'"
 _UUID = "lower(replace(replace(replace({c}, '{{', ''), '}}', ''), '-', ''))"
 
+_LANG = "CASE " + " ".join(f"WHEN ext IN ({', '.join(repr(e) for e in exts)}) THEN '{lang}'" for lang, exts in T.LANGUAGE_EXTENSIONS.items()) + " END"
+_EXT = r"lower(regexp_extract(regexp_replace(replace({c}, '\', '/'), '^(\./)+', ''), '[^/](\.[^./]*)$', 1))"
+
 SQL = {
+    "vector_euclidean": """SELECT q.vec_id AS query_id, v.vec_id, round(list_distance(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 4) AS distance
+FROM embeddings q JOIN embeddings v ON v.vec_id BETWEEN q.vec_id + 1 AND q.vec_id + 10 WHERE q.vec_id % 20 = 0""",
+    "vector_source_counts": f"""WITH {_SIM}, tagged AS (SELECT *, CASE WHEN label < 5 THEN 'code' ELSE 'document' END AS source_type FROM sims WHERE similarity >= 0.5)
+SELECT query_id, source_type, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, source_type, vec_id) AS rank FROM tagged) WHERE rank <= 20 GROUP BY query_id, source_type""",
+    "search_projection": f"""SELECT CASE WHEN chunk_index % 3 = 1 THEN 'unknown' ELSE coalesce(file_path, 'unknown') END AS file_path, {_LANG} AS language, CAST(CASE WHEN chunk_index % 3 = 1 THEN 0 ELSE coalesce(chunk_index, 0) END AS INTEGER) AS chunk_index, count(*) AS n
+FROM (SELECT *, {_EXT.format(c="file_path")} AS ext FROM chroma_entries WHERE deleted_at IS NULL) GROUP BY 1, 2, 3""",
+    "language_filter": f"""WITH f AS (SELECT {_EXT.format(c="path")} AS ext FROM file_inputs), l AS (SELECT {_LANG} AS lang FROM f)
+SELECT 'Python' AS language, count(*) FILTER (WHERE lang = 'python') AS n FROM l UNION ALL SELECT 'typescript', count(*) FILTER (WHERE lang = 'typescript') FROM l UNION ALL SELECT 'javascript', count(*) FILTER (WHERE lang = 'javascript') FROM l
+UNION ALL SELECT 'markdown', count(*) FILTER (WHERE lang = 'markdown') FROM l UNION ALL SELECT 'yaml', count(*) FILTER (WHERE lang = 'yaml') FROM l UNION ALL SELECT 'klingon', count(*) FROM l""",
+    "provider_groups": """SELECT source AS provider, 'm' AS model, CASE WHEN file_count % 2 = 0 THEN 64 ELSE 32 END AS dimensions, string_agg(repo_name, ',' ORDER BY repo_name) AS repositories FROM repositories GROUP BY 1, 2, 3""",
     "vector_topk": _topk("true", 10, 0.6),
     "vector_topk_strict": _topk("true", 10, 0.7),
     "vector_topk_filtered": _topk("label IN (1, 2, 3)", 5, 0.5),

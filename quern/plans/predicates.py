@@ -8,6 +8,8 @@ from typing import Any
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quern.functions.text import LANGUAGE_EXTENSIONS
+
 _COMPARE = {
     "$eq": lambda c, v: c == F.lit(v),
     "$ne": lambda c, v: ~c.eqNullSafe(F.lit(v)),  # a missing key is unequal to every value
@@ -52,6 +54,17 @@ def document_types(kinds: str | Iterable[str] | None, column: str = "document_ty
     return F.lit(True) if not wanted or "all" in wanted else F.coalesce(F.col(column).isin(*wanted), F.lit(False))
 
 
+def language(name: str, column: str = "file_extension") -> Column:
+    """Rows whose extension belongs to a language; a language that is not known keeps every row."""
+    wanted = LANGUAGE_EXTENSIONS.get(name.lower())
+    return F.lit(True) if wanted is None else F.coalesce(F.lower(column).isin(*wanted), F.lit(False))
+
+
+def folders(names: Iterable[str] | None, column: str = "folder") -> Column:
+    """Rows of some folders; none named keeps every row, an empty list none (a search over no repository finds nothing)."""
+    return F.lit(True) if names is None else F.coalesce(F.col(column).isin(*names), F.lit(False)) if (names := list(names)) else F.lit(False)
+
+
 def table_mode(mode: str, column: str = "is_table") -> Column:
     """``include`` keeps all, ``only`` table chunks, ``exclude`` all but table chunks (missing = no table)."""
     is_table = F.coalesce(F.col(column), F.lit(False))

@@ -108,3 +108,39 @@ def test_nearest_heading(spark):
     pos = spark.createDataFrame([(1, 5, "p"), (1, 15, "q"), (2, 1, "r")], "doc_id long, offset int, tag string")
     heads = spark.createDataFrame([(1, 10, "H")], "doc_id long, start_offset int, title string")
     assert {r.tag: r.heading for r in M.nearest_heading(pos, heads).collect()} == {"p": None, "q": "H", "r": None}
+
+
+def test_breadcrumbs_as_the_fold(spark):
+    import random
+
+    from quern.operators import chunking, markdown
+
+    rng = random.Random(4)
+    heads, at = [], []
+    for doc in range(12):
+        offsets = sorted(rng.sample(range(5, 200), rng.randint(0, 9)))
+        heads += [(doc, o, rng.randint(1, 4), f"h{o}") for o in offsets]
+        at += [(doc, rng.randint(0, 210), f"c{doc}-{i}") for i in range(6)]
+    h = spark.createDataFrame(heads, "doc_id int, start_offset int, level int, title string")
+    got = {r.chunk_id: r.breadcrumb for r in markdown.breadcrumbs(spark.createDataFrame(at, "doc_id int, offset int, chunk_id string"), h).collect()}
+    assert got == {c: chunking.breadcrumb([(t, lv, o) for d, o, lv, t in heads if d == doc], pos, None) for doc, pos, c in at}
+
+
+def test_document_graph(spark):
+    from quern.operators import docgraph as D
+
+    text = "---\ntitle: Start\n---\n# One\n\nSee [two](two.md), [site](https://x.org) and [[Start]].\n\n## Below\n\nUses `makeIndex` and buildGraph.\n"
+    docs = spark.createDataFrame([(1, "r", "a/one.md", text), (2, "r", "a/two.md", "# Two\n"), (3, "q", "a/one.md", "calls makeIndex"), (4, None, "z.md", "# Z"), (5, "r", None, "# N"), (9, "r", "a/two.md", "# Again\n")], "doc_id long, repository string, file_path string, text string")
+    symbols = spark.createDataFrame([("r", "makeIndex", "Function:r:m"), ("r", "buildGraph", "Class:r:b")], "repository string, name string, id string")
+    nodes, edges = D.build_document_graph(docs, symbols)
+    e = {(r.src, r.dst, r.type) for r in edges.collect()}
+    one = "Document:r:a/one.md"
+    assert {(one, "Document:r:a/two.md", "LINKS_TO"), (one, one, "LINKS_TO"), (one, "Function:r:m", "MENTIONS"), (one, "Class:r:b", "MENTIONS")} <= e
+    assert not [x for x in e if x[0].startswith("Document:q") and x[2] == "MENTIONS"]
+    kinds = [t for _, _, t in e]
+    assert kinds.count("HAS_SECTION") == 2 and kinds.count("CONTAINS_SECTION") == 1 and {r.label for r in nodes.collect()} == {"Document", "Section", "ExternalLink"}
+    stray = edges.union(spark.createDataFrame([(one, "Function:q:x", "MENTIONS", "low"), (one, "Module:m", "MENTIONS", "low")], edges.schema))
+    more = nodes.select("id", "repository").union(spark.createDataFrame([("Function:r:m", "r"), ("Class:r:b", "r"), ("Function:q:x", "q"), ("Module:m", None)], "id string, repository string"))
+    assert {r.dst for r in D.foreign_mentions(stray, more).collect()} == {"Function:q:x", "Module:m"}
+    empty, none = D.build_document_graph(docs.limit(0), symbols)
+    assert empty.count() == 0 and none.count() == 0
