@@ -243,8 +243,8 @@ def encode_corpus(documents: DataFrame, path: str | None = None, block: int = 20
     path = path or vocabulary_path()
     kind = documents.schema["doc_id"].dataType.simpleString()
     words = checkpointed(encoded_words(corpus_words(documents), path))
-    rows = _within(words, known_bytes).select("word", "ids").toPandas()
-    given = {w.decode("utf-8", "replace"): tuple(x.tolist()) for w, x in zip(rows["word"], rows["ids"], strict=True)}
+    rows = _within(words, known_bytes).select("word", "ids").toArrow()
+    given = {w.decode("utf-8", "replace"): tuple(x) for w, x in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True)}
     shipped = ship(documents.sparkSession, given)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

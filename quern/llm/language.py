@@ -347,18 +347,19 @@ def train(documents: DataFrame, per_language: int = 400) -> LanguageModel:
     sizes = {r["_l"]: r["n"] for r in named.groupBy("_l").agg(F.count(F.lit(1)).alias("n")).collect()}
     below = F.create_map(*[F.lit(x) for lang in LANGUAGES for x in (lang, min((1 << 63) - 1, sample_below(sizes.get(lang, 0), per_language) - (1 << 63)))])
     drawn = named.where(F.col("doc_id").isNotNull() & (F.xxhash64("doc_id") < below[F.col("_l")]))
-    sample = drawn.select("_l", "text").limit(4 * per_language * len(LANGUAGES)).toPandas()  # the limit only tells if one id holds very many rows
+    sample = drawn.select("_l", "text").limit(4 * per_language * len(LANGUAGES)).toArrow()  # the limit only tells if one id holds very many rows
     scripts = Scripts()
-    texts = [prose(t) if t else "" for t in sample["text"]]
+    given = sample.column(1).to_pylist()
+    texts = [prose(t) if t else "" for t in given]
     bags = [[w.lower() for w in _WORD.findall(t) if scripts.candidates(w.lower()) and (w.islower() or w.istitle())] for t in texts]
-    labels = list(sample["_l"])
+    labels = sample.column(0).to_pylist()
     for again in (True, False):
         counts: dict[str, Counter] = {lang: Counter() for lang in LANGUAGES}
         for lang, bag in zip(labels, bags, strict=True):
             counts[lang].update(bag)
         model = LanguageModel(counts)
         if again:
-            found = Labeller(model).lines(list(sample["text"]))
+            found = Labeller(model).lines(given)
             for i, f in enumerate(found):
                 main, _, segments = settle(f)
                 if main is not None:
