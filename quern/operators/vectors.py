@@ -178,7 +178,7 @@ class Cells:
         there = vectors.where(F.col(second).isNotNull() & F.col(first).isNotNull())
         n = there.count()
         part = there if n <= sample else there.where(F.xxhash64(first) < F.lit((1 << 64) * sample // n - (1 << 63)).cast("long")).limit(4 * sample)
-        m = np.array(part.select(second).toPandas()[second].tolist(), np.float64)
+        m = np.array(part.select(second).toArrow().column(0).to_pylist(), np.float64)
         if not len(m):
             return Cells(np.zeros((1, 1)))
         m = _unit(m)
