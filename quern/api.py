@@ -7,6 +7,9 @@ from __future__ import annotations
 
 import hashlib
 import math
+import threading
+import time
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,6 +47,7 @@ class Engine:
     def __init__(self, spark: SparkSession, chunks: DataFrame | None = None, repositories: DataFrame | None = None, nodes: DataFrame | None = None, edges: DataFrame | None = None, embed: Callable[[str], Sequence[float]] | None = None) -> None:
         self.spark, self.chunks, self.repositories, self.nodes, self.edges = spark, chunks, repositories, nodes, edges
         self.embed = embed or hashing_embedder()
+        self.ttl, self.most, self._kept = 300.0, 100, {}
 
     def _search(self, rows: DataFrame, query: str | Sequence[float], limit: int, threshold: float) -> DataFrame:
         _between("limit", limit, 1, 50)
@@ -70,15 +74,24 @@ class Engine:
         if repository is not None:
             rows = rows.where(F.col("repository") == repository)
         if language is not None:
-            rows = rows.where(P.compile_predicate({"language": language}))
+            rows = rows.where(P.language(language))
         found = self._search(rows, query, limit, threshold)
         return found.withColumn("snippet", T.snippet(F.col("content"))).drop("content") if "content" in found.columns else found
 
+    def search_all(self, query: str | Sequence[float], documents: Callable[[], DataFrame] | None, limit: int = 10, threshold: float = 0.7, **code) -> tuple[DataFrame, list[str]]:
+        """(results, warnings): chunks of code and of documents in one list, tagged by ``source_type``; failing documents are only a warning."""
+        found = self.semantic_search(query, limit, threshold, **code).withColumn("source_type", F.lit("code"))
+        try:
+            if documents is None:
+                raise LookupError("there is no document search")
+            other = documents().withColumn("source_type", F.lit("document"))
+        except Exception as e:  # noqa: BLE001 - code results do not depend on documents
+            return found, [f"document search failed: {e}"]
+        return found.unionByName(other, allowMissingColumns=True).orderBy(F.desc("similarity"), "source_type", "id").limit(limit), []
+
     def search_documents(self, query: str | Sequence[float], limit: int = 10, threshold: float = 0.7, document_types: Sequence[str] = ("all",), tables: str = "include", folder: str | None = None) -> DataFrame:
         rows = self.chunks.where(P.document_types(document_types) & P.table_mode(tables))
-        if folder is not None:
-            rows = rows.where(F.col("folder") == folder)
-        return self._search(rows, query, limit, threshold)
+        return self._search(rows.where(P.folders(None if folder is None else [folder])), query, limit, threshold)
 
     def search_images(self, images: DataFrame, limit: int = 20, **criteria) -> DataFrame:
         _between("limit", limit, 1, 100)
@@ -108,7 +121,11 @@ class Engine:
         return G.shortest_paths(self._one(start), self._one(target), self.edges, max_hops)
 
     def get_architecture(self, repository: str | None = None, level: str = "packages", scope: str | None = None) -> DataFrame:
-        files = self.nodes.where(F.col("label") == "File").select("repository", "path")
+        files = self.nodes.where(F.col("label") == "File")
+        if level == "entities":
+            own = files.where(F.col("repository") == repository) if repository else files
+            return G.entities(own.where(F.col("path").startswith(scope)) if scope else own, self.edges)
+        files = files.select("repository", "path")
         return G.architecture(files.where(F.col("repository") == repository) if repository else files, level, scope)
 
     def get_graph_metrics(self, log: DataFrame, types: Sequence[str]) -> DataFrame:
@@ -118,5 +135,38 @@ class Engine:
         _between("limit", limit, 1, 100)
         return G.expand_context(self.spark.createDataFrame([(s,) for s in seeds], "id string"), self.nodes, self.edges, limit)
 
+    def cached(self, key: tuple, make: Callable[[], DataFrame]) -> DataFrame:
+        """The result of a query for a while: kept by Spark, dropped after ``ttl`` seconds or when more than ``most`` are kept, the oldest first."""
+        now = time.monotonic()
+        for k in [k for k, (_, at) in self._kept.items() if now - at > self.ttl]:
+            self._kept.pop(k)[0].unpersist()
+        if key not in self._kept:
+            while len(self._kept) >= self.most:
+                self._kept.pop(next(iter(self._kept)))[0].unpersist()
+            self._kept[key] = (make().persist(), now)
+        return self._kept[key][0]
+
+    def forget(self, repository: str) -> None:
+        """Drop kept results whose key names a repository."""
+        for k in [k for k in self._kept if repository in k]:
+            self._kept.pop(k)[0].unpersist()
+
+    def within(self, seconds: float, run: Callable[[], object]) -> object:
+        """What ``run`` returns, or TimeoutError once its Spark jobs have been cancelled after so many seconds."""
+        tag = f"quern-{uuid.uuid4().hex}"
+        timer = threading.Timer(seconds, lambda: self.spark.interruptTag(tag))
+        began = time.monotonic()
+        self.spark.addTag(tag)
+        timer.start()
+        try:
+            return run()
+        except Exception as e:
+            if time.monotonic() - began >= seconds:
+                raise TimeoutError(f"the query took longer than {seconds} s") from e
+            raise
+        finally:
+            timer.cancel()
+            self.spark.removeTag(tag)
+
     def _one(self, node: str) -> DataFrame:
         return self.spark.createDataFrame([(node,)], "id string")

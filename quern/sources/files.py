@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import zipfile
 from collections.abc import Iterator
 from io import BytesIO
+from urllib.parse import quote
 from xml.etree import ElementTree
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,12 +29,64 @@ DOCUMENT_TYPES = {".pdf": "pdf", ".docx": "docx", ".md": "markdown", ".markdown"
 def scan(spark: SparkSession, root: str, extensions: list[str] | None = None) -> DataFrame:
     """(relative_path, path, size, modified_at, content bytes) of the eligible files under a folder.
 
-    The file listing is Spark's own; path, size and time filters reach the scan before contents are read.
+    The file listing is Spark's own; path, size and time filters reach the scan before contents are read. Names
+    with a leading underscore, which Spark's listing leaves out, are listed apart and read by their paths.
     """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    at = F.regexp_replace(F.regexp_replace("path", r"^file:/+", "/"), "^" + re.escape(root.rstrip("/")) + "/", "")
-    files = raw.select(at.alias("relative_path"), "path", F.col("length").alias("size"), F.col("modificationTime").alias("modified_at"), "content")
-    return files.where(eligible(F.col("relative_path"), F.col("size"), extensions or DEFAULT_EXTENSIONS))
+    wanted = extensions or DEFAULT_EXTENSIONS
+    reader = lambda: spark.read.format("binaryFile")
+    raw = reader().option("recursiveFileLookup", "true").load(root)
+    own = [p for p in hidden_files(spark, root) if p.rsplit("/", 1)[-1].startswith("_") or "/_" in p]
+    own = [p for p in own if any(p.lower().endswith(e.lower()) for e in wanted)]
+    if own:
+        raw = raw.unionByName(read_paths(spark, own))
+    files = raw.select(_relative(root), "path", F.col("length").alias("size"), F.col("modificationTime").alias("modified_at"), "content")
+    return files.where(eligible(F.col("relative_path"), F.col("size"), wanted))
+
+
+def read_paths(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path, modificationTime, length, content) of single files, which Spark's reader may leave out for their names."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for b in batches:
+            rows = []
+            for p in b.column(0).to_pylist():
+                system, at = fs.FileSystem.from_uri(p if "://" in p else f"file://{quote(p)}")
+                info = system.get_file_info(at)
+                if info.type == fs.FileType.File:
+                    with system.open_input_stream(at) as f:
+                        rows.append((p, info.mtime, info.size, f.read()))
+            cols = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
+            types = (pa.string(), pa.timestamp("us", "UTC"), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["path", "modificationTime", "length", "content"])
+
+    return spark.createDataFrame([(p,) for p in paths], "path string").mapInArrow(run, "path string, modificationTime timestamp, length long, content binary")
+
+
+def _relative(root: str) -> Column:
+    at = re.sub(r"^file:/+", "/", root).rstrip("/")
+    return F.regexp_replace(F.regexp_replace("path", r"^file:/+", "/"), "^" + re.escape(at) + "/", "").alias("relative_path")
+
+
+def hidden_files(spark: SparkSession, root: str) -> list[str]:
+    """Paths of files that Spark's listing leaves out: those of which a part below the root begins with ``_`` or ``.``, skipped folders aside."""
+    local = re.sub(r"^file:/+", "/", root).rstrip("/")
+    out: list[str] = []
+    if "://" not in local:
+        for folder, folders, names in os.walk(local):
+            folders[:] = [x for x in folders if x not in SKIPPED_FOLDERS and not x.startswith(".")]
+            under = any(x.startswith("_") for x in folder[len(local) :].split("/"))
+            out += [f"{folder}/{x}" for x in names if under or x[:1] in "_."]
+        return sorted(out)
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True)
+    while found.hasNext():
+        p = found.next().getPath().toString()
+        parts = p[len(root.rstrip("/")) + 1 :].split("/")
+        if any(x[:1] in "_." for x in parts) and not any(x in SKIPPED_FOLDERS or x.startswith(".") for x in parts[:-1]):
+            out.append(p)
+    return sorted(out)
 
 
 def descended(path: Column) -> Column:
@@ -102,18 +157,44 @@ def ignore_regex(line: str) -> tuple[bool, str] | None:
 def apply_ignores(files: DataFrame, ignores: list[tuple[str, str]]) -> DataFrame:
     """Files that no ignore file excludes; ``ignores`` is (folder relative to the root, text) of each ignore file.
 
-    Deeper files speak first, inside a file the last matching rule counts; the first verdict holds.
+    Deeper files speak first, inside a file the last matching rule counts; the first verdict holds. The rules are
+    tried in that order in Arrow batches over the paths, so thousands of them make no plan longer.
     """
-    verdict = F.lit(None).cast("boolean")
-    for folder, text in sorted(ignores, key=lambda x: len(x[0])):
+    rules = []
+    for folder, text in sorted(ignores, key=lambda x: -len(x[0].strip("/"))):
         prefix = folder.strip("/") + "/" if folder.strip("/") else ""
-        inner = F.substring(F.col("relative_path"), len(prefix) + 1, 1 << 20)
-        local = F.lit(None).cast("boolean")
-        for line in text.splitlines():
-            if rule := ignore_regex(line):
-                local = F.when(inner.rlike(rule[1]), F.lit(not rule[0])).otherwise(local)
-        verdict = F.when(F.col("relative_path").startswith(prefix), F.coalesce(local, verdict)).otherwise(verdict)
-    return files.where(~F.coalesce(verdict, F.lit(False)))
+        made = [r for r in map(ignore_regex, text.splitlines()) if r]
+        if made:
+            rules.append((prefix, [(not keep, pattern) for keep, pattern in reversed(made)]))
+    if not rules:
+        return files
+
+    @F.pandas_udf("boolean")
+    def ignored(paths: pd.Series) -> pd.Series:
+        ready = [(prefix, [(out, re.compile(x)) for out, x in made]) for prefix, made in rules]
+
+        def verdict(path: str | None) -> bool:
+            for prefix, made in ready:
+                if path and path.startswith(prefix):
+                    inner = path[len(prefix) :]
+                    for out, x in made:
+                        if x.search(inner):
+                            return out
+            return False
+
+        return paths.map(verdict)
+
+    return files.where(~ignored("relative_path"))
+
+
+def ignore_files(spark: SparkSession, root: str) -> list[tuple[str, str]]:
+    """(folder relative to the root, text) of the ignore files under a folder: small, and rules are settled before the scan."""
+    own = [p for p in hidden_files(spark, root) if p.rsplit("/", 1)[-1] == ".gitignore"]
+    if not own:
+        return []
+    raw = read_paths(spark, own).where(F.col("length") <= MAX_BYTES)
+    rows = raw.select(_relative(root), F.col("content").cast("string").alias("text")).collect()
+    return [(r["relative_path"].rpartition("/")[0], r["text"]) for r in rows]
 
 
 def audit_log(spark: SparkSession, path: str) -> DataFrame:
