@@ -4,7 +4,7 @@ The distinct pre-tokens of the whole corpus are gathered first, each once. Its t
 by replaying the merges: an inverted index leads from each mergeable pair to the positions where it stands;
 the merges are applied in rank order, each at all its positions, and only the pairs of touched neighbours
 are indexed anew. The index is split by a hash of the words, as merges never cross words. The encoded words go
-back to the texts by look-up: as many as ``known_bytes`` allow, the most frequent first, are sent to the
+back to the texts by look-up: as many as ``known_bytes`` allow, the most wide-spread first, are sent to the
 executors; a word beyond that bound is replayed again with the new words of its block, with the same ids. So
 texts are scanned twice and never shuffled, whatever the size of the corpus or its vocabulary.
 
@@ -167,20 +167,6 @@ class MergeReplay:
         return offsets, ids
 
 
-    def pretoken_counts(self, texts: list[str | None], into: dict[str, int]) -> None:
-        """Adds the pre-tokens of a block of texts, with their number, to a table."""
-        chunks: Counter = Counter()
-        for t in texts:
-            if t:
-                head, *rest = _SPACE.split(t)
-                for w in self.pretokens(head):
-                    into[w] = into.get(w, 0) + 1
-                chunks.update(rest)
-        for c, n in chunks.items():
-            for w in self.pretokens(" " + c):
-                into[w] = into.get(w, 0) + n
-
-
 def replayer(path: str) -> MergeReplay:
     """The vocabulary, read once for all tasks of a Python worker that is used again."""
     held = globals().setdefault("_REPLAYERS", {})
@@ -190,25 +176,36 @@ def replayer(path: str) -> MergeReplay:
     return held[path]
 
 
-def corpus_words(documents: DataFrame) -> DataFrame:
-    """(word, n): the distinct pre-tokens of the corpus; a worker folds its own before they are shuffled, in tables of bounded size."""
+def corpus_words(documents: DataFrame, max_known: int = 300_000) -> DataFrame:
+    """(word, n): the distinct pre-tokens of the corpus with the number of batches of texts that hold them.
+
+    A worker cuts each distinct stretch between single spaces once and folds its words before they are shuffled,
+    in tables of at most about ``max_known`` entries, which are sent on and begun anew when full.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        cut = MergeReplay.__new__(MergeReplay)
-        cut.pretokens = regex.compile(PATTERN).findall
-        held: dict[str, int] = {}
-        flush = lambda: pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
+        pretokens = regex.compile(PATTERN).findall
+        cut: dict[str, list[str]] = {}  # behind a space
+        held: Counter = Counter()
+        flush = lambda: pa.RecordBatch.from_arrays([pa.array([w.encode("utf-8", "replace") for w in held], pa.binary()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
         for b in batches:
-            found: dict[str, int] = {}
-            cut.pretoken_counts(b.column(0).to_pylist(), found)
-            for w, n in found.items():
-                k = w.encode("utf-8", "replace")
-                held[k] = held.get(k, 0) + n
-            if len(held) > 300_000:
+            chunks: set[str] = set()
+            heads: set[str] = set()
+            for t in b.column(0).to_pylist():
+                head, *rest = _SPACE.split(t)
+                heads.add(head)
+                chunks.update(rest)
+            words = set(chain.from_iterable(map(pretokens, heads)))
+            for c in chunks:
+                if (w := cut.get(c)) is None:
+                    w = cut[c] = pretokens(" " + c)
+                words.update(w)
+            held.update(words)
+            if len(held) > max_known or len(cut) > max_known:
                 yield flush()
-                held = {}
+                held, cut = Counter(), {}
         yield flush()
 
     return documents.where("text is not null and text != ''").select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -227,7 +224,7 @@ def encoded_words(words: DataFrame, path: str) -> DataFrame:
 
 
 def _within(words: DataFrame, known_bytes: int) -> DataFrame:
-    """The most frequent words whose table takes at most ``known_bytes`` in a worker: all if they fit, else those from a count on that does."""
+    """The most wide-spread words whose table takes at most ``known_bytes`` in a worker: all if they fit, else those from a count on that does."""
     cost = F.length("word") + 8 * F.size("ids") + 120
     by_count = words.groupBy(F.floor(F.log2(F.col("n") + 0.5)).alias("_b")).agg(F.sum(cost).alias("_bytes")).orderBy(F.desc("_b")).collect()  # 64 rows at most
     used, least = 0, None
@@ -258,3 +255,25 @@ def encode_corpus(documents: DataFrame, path: str | None = None, block: int = 20
                 yield pa.RecordBatch.from_arrays([part.column(0), lists], ["doc_id", "ids"])
 
     return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>")
+
+
+def token_bytes(path: str) -> dict[int, bytes]:
+    """The bytes of every ordinary token of a vocabulary in JSON."""
+    with open(path, encoding="utf-8") as f:
+        vocab = json.load(f)["model"]["vocab"]
+    at = _byte_of_char()
+    return {i: bytes(at[c] for c in token) for token, i in vocab.items() if all(c in at for c in token)}
+
+
+def decoded(encoded: DataFrame, path: str | None = None) -> DataFrame:
+    """(doc_id, text) of (doc_id, ids): what the ids stand for."""
+    path = path or vocabulary_path()
+    kind = encoded.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = token_bytes(path)
+        for b in batches:
+            texts = [b"".join([of[i] for i in ids]).decode("utf-8", "replace") for ids in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
+
+    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, text string")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quern.llm import encoding, handwritten, language, leakage, scans, secrets, splitting, syntax
 from quern.tables import spread, table
@@ -128,6 +129,44 @@ def p9_segments(spark: SparkSession, d: str) -> DataFrame:
     return language.segments(spread(docs), language.train(docs))
 
 
+# Checks: what SQL can say of results that it cannot make itself.
+
+
+def p1_masked(spark: SparkSession, d: str) -> DataFrame:
+    """Frame of the masked contents: characters and lines are as many as before."""
+    r = p1_redacted(spark, d)
+    return r.select("file_id", F.char_length("content").cast("long").alias("n_chars"), F.regexp_count("content", F.lit("\n")).cast("long").alias("n_lines"))
+
+
+def p4_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Longest line of each file with a code extension."""
+    return p4_layout(spark, d).select("file_id", "max_line")
+
+
+def p5_cover(spark: SparkSession, d: str) -> DataFrame:
+    """Per long document: where its pieces begin and end, and how many break a rule of length, order or overlap."""
+    w = Window.partitionBy("doc_id").orderBy("chunk_index")
+    p = p5_pieces(spark, d).withColumns({"_s": F.lag("start_offset").over(w), "_e": F.lag("end_offset").over(w), "_i": F.row_number().over(w) - 1})
+    size, overlap = F.col("end_offset") - F.col("start_offset"), F.col("_e") - F.col("start_offset")
+    bad = (size < 1) | (size > 2000) | (F.col("chunk_index") != F.col("_i")) | F.coalesce((F.col("start_offset") <= F.col("_s")) | (F.col("end_offset") <= F.col("_e")) | (overlap < 1) | (overlap > 200), F.lit(False))
+    return p.groupBy("doc_id").agg(F.min("start_offset").alias("first"), F.max("end_offset").alias("last"), F.count_if(bad).alias("n_bad"))
+
+
+def p6_json(spark: SparkSession, d: str) -> DataFrame:
+    """JSON files that are not valid."""
+    return p6_files(spark, d).where("language = 'json'").select("file_id")
+
+
+def p6_totals(spark: SparkSession, d: str) -> DataFrame:
+    return p6_rates(spark, d).select("repository", "language", "n_files")
+
+
+def p7_text(spark: SparkSession, d: str) -> DataFrame:
+    """Hash and length of what the ids decode to."""
+    t = encoding.decoded(p7_ids(spark, d))
+    return t.select("doc_id", F.sha2("text", 256).alias("text_hash"), F.octet_length("text").cast("long").alias("n_bytes"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_secrets": p1_secrets,
@@ -151,6 +190,12 @@ QUERIES = {
     "p9_found": p9_found,
     "p9_documents": p9_documents,
     "p9_segments": p9_segments,
+    "p1_masked": p1_masked,
+    "p4_lines": p4_lines,
+    "p5_cover": p5_cover,
+    "p6_json": p6_json,
+    "p6_totals": p6_totals,
+    "p7_text": p7_text,
 }
 
 _UUID = "lower(replace(replace(replace({c}, '{{', ''), '}}', ''), '-', ''))"
@@ -158,7 +203,16 @@ _UUID = "lower(replace(replace(replace({c}, '{{', ''), '}}', ''), '-', ''))"
 _INSIDE = """({p} > 0 AND {p} < n AND NOT regexp_matches(substr(text, CAST({p} AS BIGINT), 1), '[ \\t\\r\\n]') AND NOT regexp_matches(substr(text, CAST({p} AS BIGINT) + 1, 1), '[ \\t\\r\\n]')
   AND length(regexp_extract(substr(text, greatest(1, {p} - 2000), least({p}, 2001)), '[^ \\t\\r\\n]*$')) + length(regexp_extract(substr(text, CAST({p} AS BIGINT) + 1, 2001), '^[^ \\t\\r\\n]*')) <= 2000)"""
 
+_LANG = r"CASE lower(regexp_extract(replace(path, '\', '/'), '[^/](\.[^./]*)$', 1)) WHEN '.py' THEN 'python' WHEN '.pyw' THEN 'python' WHEN '.ts' THEN 'typescript' WHEN '.mts' THEN 'typescript' WHEN '.js' THEN 'javascript' WHEN '.mjs' THEN 'javascript' WHEN '.java' THEN 'java' WHEN '.go' THEN 'go' WHEN '.json' THEN 'json' END"
+
 SQL: dict[str, str] = {
+    "p1_masked": "SELECT file_id, length(content) AS n_chars, length(content) - length(replace(content, chr(10), '')) AS n_lines FROM file_inputs",
+    "p4_lines": f"""SELECT file_id, CAST(list_max(list_transform(string_split(replace(content, chr(13), ''), chr(10)), lambda x: length(x))) AS INTEGER) AS max_line
+FROM file_inputs WHERE content <> '' AND {_LANG} <> 'json'""",
+    "p5_cover": "SELECT doc_id, CAST(0 AS INTEGER) AS first, CAST(length(text) AS INTEGER) AS last, CAST(0 AS BIGINT) AS n_bad FROM documents WHERE ceil(length(text) / 4) > 500",
+    "p6_json": f"SELECT file_id FROM file_inputs WHERE content IS NOT NULL AND {_LANG} = 'json' AND NOT json_valid(content)",
+    "p6_totals": f"SELECT repository, {_LANG} AS language, count(*) AS n_files FROM file_inputs WHERE content IS NOT NULL AND {_LANG} IS NOT NULL GROUP BY 1, 2",
+    "p7_text": "SELECT doc_id, sha256(coalesce(text, '')) AS text_hash, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes FROM documents",
     "p5_found": f"""WITH d AS (SELECT doc_id, {_UUID.format(c="id")} AS k, text, length(text) AS n FROM documents WHERE ceil(length(text) / 4) > 500),
 c AS (SELECT DISTINCT {_UUID.format(c="document_id")} AS k, chunk_index AS i, start_offset AS s, end_offset AS e FROM document_chunks),
 j AS (SELECT d.doc_id, d.n, d.text, c.i, c.s, c.e, row_number() OVER w - 1 AS r, count(*) OVER (PARTITION BY d.doc_id) AS m, lag(c.s) OVER w AS ps, lag(c.e) OVER w AS pe
