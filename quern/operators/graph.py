@@ -58,9 +58,9 @@ def reach(starts: DataFrame, edges: DataFrame, types: Sequence[str] | None = DEP
     so neither a hub nor a dense neighbourhood is expanded whole.
     """
     depth = min(depth, MAX_HOPS)
-    links = (edges if types is None else _of_types(edges, types)).select("src", "dst").distinct()
+    links = (edges if types is None else _of_types(edges, types)).select("src", "dst")
     if limit is not None:  # of a node's neighbours, those seen before (limit a level, and the start) and the next ones
-        links = _least(links, "src", "dst", limit * (depth + 1) + 1)
+        links = _least(links.distinct(), "src", "dst", limit * (depth + 1) + 1)
     links = checkpointed(links) if depth > 1 else links
     frontier = starts.select(F.col("id").alias("start"), F.col("id").alias("node")).distinct()
     seen = frontier

@@ -37,15 +37,16 @@ def nodes(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-def edges(spark: SparkSession, d: str, *types: str) -> DataFrame:
-    """All edges, or those of some types (other tables are then not read)."""
+def edges(spark: SparkSession, d: str, *types: str, unique: bool = True) -> DataFrame:
+    """All edges, or those of some types (other tables are then not read); not each once for operators that fold what they find anyway."""
     n = table(spark, d, "nation")
 
     def link(df: DataFrame, a: tuple[str, str], b: tuple[str, str], kind: str) -> DataFrame:
         return df.select(_id(*a).alias("src"), _id(*b).alias("dst"), F.lit(kind).alias("type"))
 
     def lines(a: str, b: str) -> DataFrame:  # numbers are folded, not the names made of them
-        return spread(table(spark, d, "lineitem", a, b)).distinct()
+        rows = spread(table(spark, d, "lineitem", a, b))
+        return rows.distinct() if unique else rows
 
     made = {
         "CONTAINS": lambda: link(n, ("Region", "n_regionkey"), ("Nation", "n_nationkey"), "CONTAINS").unionByName(
@@ -69,37 +70,37 @@ def _starts(spark: SparkSession, d: str, name: str, label: str, key: str, every:
 
 
 def deps_direct(spark: SparkSession, d: str) -> DataFrame:
-    return G.direct(_starts(spark, d, "orders", "Order", "o_orderkey"), edges(spark, d, *G.DEPENDENCY_TYPES))
+    return G.direct(_starts(spark, d, "orders", "Order", "o_orderkey"), edges(spark, d, *G.DEPENDENCY_TYPES, unique=False))
 
 
 def deps_transitive(spark: SparkSession, d: str) -> DataFrame:
-    return G.transitive(_starts(spark, d, "orders", "Order", "o_orderkey"), edges(spark, d, *G.DEPENDENCY_TYPES))
+    return G.transitive(_starts(spark, d, "orders", "Order", "o_orderkey"), edges(spark, d, *G.DEPENDENCY_TYPES, unique=False))
 
 
 def deps_by_type(spark: SparkSession, d: str) -> DataFrame:
     """The relationship types asked for are honoured: parts' REFERENCES only."""
-    return G.dependencies(_starts(spark, d, "part", "Part", "p_partkey"), edges(spark, d, "REFERENCES", "CALLS"), ("REFERENCES",), 3)
+    return G.dependencies(_starts(spark, d, "part", "Part", "p_partkey"), edges(spark, d, "REFERENCES", "CALLS", unique=False), ("REFERENCES",), 3)
 
 
 def dependents(spark: SparkSession, d: str) -> DataFrame:
-    return G.dependents(_starts(spark, d, "part", "Part", "p_partkey"), edges(spark, d, *G.DEPENDENCY_TYPES))
+    return G.dependents(_starts(spark, d, "part", "Part", "p_partkey"), edges(spark, d, *G.DEPENDENCY_TYPES, unique=False))
 
 
 def deps_both(spark: SparkSession, d: str) -> DataFrame:
-    return G.both_directions(_starts(spark, d, "part", "Part", "p_partkey"), edges(spark, d, *G.DEPENDENCY_TYPES))
+    return G.both_directions(_starts(spark, d, "part", "Part", "p_partkey"), edges(spark, d, *G.DEPENDENCY_TYPES, unique=False))
 
 
 def impact_score(spark: SparkSession, d: str) -> DataFrame:
-    return G.impact(_starts(spark, d, "supplier", "Supplier", "s_suppkey"), edges(spark, d, "IMPORTS", "REFERENCES"))
+    return G.impact(_starts(spark, d, "supplier", "Supplier", "s_suppkey"), edges(spark, d, "IMPORTS", "REFERENCES", unique=False))
 
 
 def traverse_undirected(spark: SparkSession, d: str) -> DataFrame:
-    return G.traverse(_starts(spark, d, "part", "Part", "p_partkey"), edges(spark, d, "IMPORTS", "REFERENCES"), 2, 50)
+    return G.traverse(_starts(spark, d, "part", "Part", "p_partkey"), edges(spark, d, "IMPORTS", "REFERENCES", unique=False), 2, 50)
 
 
 def shortest_path(spark: SparkSession, d: str) -> DataFrame:
     regions = table(spark, d, "region", "r_regionkey").select(_id("Region", "r_regionkey").alias("id"))
-    found = G.shortest_paths(_starts(spark, d, "orders", "Order", "o_orderkey"), regions, edges(spark, d, *G.DEPENDENCY_TYPES))
+    found = G.shortest_paths(_starts(spark, d, "orders", "Order", "o_orderkey"), regions, edges(spark, d, *G.DEPENDENCY_TYPES, unique=False))
     return found.select("start", "target", "hops", F.array_join("path", ">").alias("path"), F.array_join("types", ">").alias("types"))
 
 
@@ -141,8 +142,11 @@ def module_dependencies(spark: SparkSession, d: str) -> DataFrame:
 
 
 def context_expand(spark: SparkSession, d: str) -> DataFrame:
-    seeds = _starts(spark, d, "supplier", "Supplier", "s_suppkey").unionByName(_starts(spark, d, "orders", "Order", "o_orderkey"))
-    return G.expand_context(seeds, nodes(spark, d).withColumn("extension", F.lit("md")), edges(spark, d))
+    """Parts and suppliers stand for documents in turn: a third of either kind has a document's extension."""
+    seeds = _starts(spark, d, "supplier", "Supplier", "s_suppkey").unionByName(_starts(spark, d, "orders", "Order", "o_orderkey")).unionByName(_starts(spark, d, "part", "Part", "p_partkey"))
+    key = F.substring_index("id", ":", -1).cast("long")
+    kinds = nodes(spark, d).withColumn("extension", F.when(key % 3 == 0, "md").when(key % 3 == 1, "rst").otherwise("ts"))
+    return G.expand_context(seeds, kinds, edges(spark, d, unique=False))
 
 
 def graph_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -240,12 +244,12 @@ SELECT repository, array_to_string(p[1:depth], '/') AS path, CASE WHEN depth > 1
 FROM s GROUP BY 1, 2, 3, 4, 5""",
     "module_dependencies": """SELECT p_brand AS module, 'Nation:' || s_nationkey AS depends_on, count(*) AS n, 'REFERENCES' AS types
 FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1, 2""",
-    "context_expand": f"""WITH {_EDGES}, seeds AS (SELECT id AS seed FROM {_SUPPLIERS} UNION ALL SELECT id FROM {_ORDERS}),
+    "context_expand": f"""WITH {_EDGES}, seeds AS (SELECT id AS seed FROM {_SUPPLIERS} UNION ALL SELECT id FROM {_ORDERS} UNION ALL SELECT id FROM {_PARTS}),
 u AS (SELECT seed, dst AS node, 1 AS r, 'imports' AS context FROM seeds JOIN edges ON src = seed WHERE type = 'IMPORTS'
   UNION ALL SELECT seed, src, 2, 'callers' FROM seeds JOIN edges ON dst = seed WHERE type = 'CALLS'
   UNION ALL SELECT seed, dst, 3, 'callees' FROM seeds JOIN edges ON src = seed WHERE type = 'CALLS'
   UNION ALL SELECT seed, b.dst, 4, 'siblings' FROM seeds JOIN edges a ON a.dst = seed AND a.type IN ('CONTAINS', 'DEFINES') JOIN edges b ON b.src = a.src AND b.type IN ('CONTAINS', 'DEFINES') WHERE b.dst <> seed
-  UNION ALL SELECT seed, dst, 5, 'documentation' FROM seeds JOIN edges ON src = seed WHERE type = 'REFERENCES'),
+  UNION ALL SELECT seed, dst, 5, 'documentation' FROM seeds JOIN edges ON src = seed WHERE type = 'REFERENCES' AND CAST(string_split(dst, ':')[2] AS BIGINT) % 3 < 2),
 once AS (SELECT seed, node, min(r) AS r, arg_min(context, r) AS context FROM u GROUP BY 1, 2)
 SELECT seed, node, context, 0.8::DOUBLE AS relevance FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY r, node) AS n FROM once) WHERE n <= 20""",
     "graph_counts": f"WITH {_EDGES}, {_NODES} SELECT 'node' AS kind, label AS name, count(*) AS n FROM nodes GROUP BY label UNION ALL SELECT 'edge', type, count(*) FROM edges GROUP BY type",
