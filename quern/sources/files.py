@@ -231,14 +231,109 @@ def docx_parts(data: bytes) -> tuple[str, list[tuple[str, int]], list[list[list[
                     merge = tc.find(f"{_W}tcPr/{_W}vMerge")
                     content = "\n".join("".join(t.text or "" for t in p.iter(f"{_W}t")) for p in tc.iter(f"{_W}p"))
                     continued = merge is not None and merge.get(f"{_W}val") != "restart"
-                    cells.append({"content": "" if continued else content, "colSpan": int(span.get(f"{_W}val")) if span is not None else 1, "rowSpan": 1})
+                    cells.append({"content": "" if continued else content, "colSpan": int(span.get(f"{_W}val")) if span is not None else 1, "rowSpan": 0 if continued else 1})
                 rows.append(cells)
+            _span_rows(rows)
             tables.append(rows)
     return "\n".join(lines), heads, tables
 
 
+def _span_rows(rows: list[list[dict]]) -> None:
+    """Counts, in the cell where a vertical merge begins, the rows below that continue it (their own cells have 0)."""
+    begun: dict[int, dict] = {}
+    for row in rows:
+        column = 0
+        for cell in row:
+            if cell["rowSpan"] == 0 and column in begun:
+                begun[column]["rowSpan"] += 1
+            else:
+                begun[column] = cell
+            column += cell["colSpan"]
+
+
+def docx_properties(data: bytes) -> dict[str, str]:
+    """Title and author of a DOCX file, as far as it tells them."""
+    with zipfile.ZipFile(BytesIO(data)) as z:
+        if "docProps/core.xml" not in z.namelist():
+            return {}
+        core = ElementTree.fromstring(z.read("docProps/core.xml"))
+    of = {"{http://purl.org/dc/elements/1.1/}title": "title", "{http://purl.org/dc/elements/1.1/}creator": "author"}
+    return {of[e.tag]: e.text.strip() for e in core if e.tag in of and e.text and e.text.strip()}
+
+
+def docx_tables(files: DataFrame) -> DataFrame:
+    """(relative_path, table_index, row_index, cells) of the tables of the DOCX files of a scan; cells are (content, colSpan, rowSpan)."""
+    cell = pa.list_(pa.struct([("content", pa.string()), ("colSpan", pa.int32()), ("rowSpan", pa.int32())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for path, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                try:
+                    tables = docx_parts(x)[2]
+                except (zipfile.BadZipFile, KeyError, ElementTree.ParseError):
+                    continue
+                out += [(path, i, n, r) for i, t in enumerate(tables) for n, r in enumerate(t)]
+            cols = list(zip(*out, strict=True)) if out else [[], [], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.int32(), cell), strict=True)], ["relative_path", "table_index", "row_index", "cells"])
+
+    picked = files.where(document_type(F.col("relative_path")) == "docx").select("relative_path", "content")
+    return picked.mapInArrow(run, "relative_path string, table_index int, row_index int, cells array<struct<content:string,colSpan:int,rowSpan:int>>")
+
+
+def tiff_fields(data: bytes) -> dict[int, int | str]:
+    """Numbers and texts of the first directory of a TIFF structure and of the photo directory below it, by tag."""
+    order = {b"II*\0": "<", b"MM\0*": ">"}.get(data[:4])
+    out: dict[int, int | str] = {}
+    if order is None or len(data) < 8:
+        return out
+    todo, seen = [struct.unpack(order + "I", data[4:8])[0]], set()
+    while todo:
+        at = todo.pop()
+        if at in seen or at + 2 > len(data):
+            continue
+        seen.add(at)
+        for k in range(struct.unpack(order + "H", data[at : at + 2])[0]):
+            entry = data[at + 2 + 12 * k : at + 14 + 12 * k]
+            if len(entry) < 12:
+                break
+            tag, kind, n = struct.unpack(order + "HHI", entry[:8])
+            if kind == 3:
+                out[tag] = struct.unpack(order + "H", entry[8:10])[0]
+            elif kind == 4:
+                out[tag] = struct.unpack(order + "I", entry[8:12])[0]
+            elif kind == 2:
+                begin = struct.unpack(order + "I", entry[8:12])[0] if n > 4 else at + 10 + 12 * k
+                out[tag] = data[begin : begin + n].split(b"\0")[0].decode("ascii", "replace")
+            if tag == 0x8769 and kind == 4:
+                todo.append(out[tag])
+    return out
+
+
+#: Tags of a photo's time (taken, made) and camera.
+_TAKEN, _MADE, _MODEL = 0x9003, 0x0132, 0x0110
+
+
+def photo_fields(data: bytes) -> dict[int, int | str]:
+    """The photo fields of a TIFF or JPEG file."""
+    if data[:2] != b"\xff\xd8":
+        return tiff_fields(data)
+    at = 2
+    while at + 4 <= len(data) and data[at] == 0xFF:
+        size = int.from_bytes(data[at + 2 : at + 4], "big")
+        if data[at + 1] == 0xE1 and data[at + 4 : at + 10] == b"Exif\0\0":
+            return tiff_fields(data[at + 10 : at + 2 + size])
+        if data[at + 1] == 0xDA or size < 2:
+            break
+        at += 2 + size
+    return {}
+
+
 def image_size(data: bytes) -> tuple[str, int, int] | None:
-    """(format, width, height) from an image's header: PNG, GIF, JPEG, WebP."""
+    """(format, width, height) from an image's header: PNG, GIF, JPEG, WebP, TIFF."""
+    if data[:4] in (b"II*\0", b"MM\0*"):
+        f = tiff_fields(data)
+        return ("tiff", f[0x100], f[0x101]) if isinstance(f.get(0x100), int) and isinstance(f.get(0x101), int) else None
     if data[:8] == b"\x89PNG\r\n\x1a\n" and len(data) >= 24:
         return ("png", *struct.unpack(">II", data[16:24]))
     if data[:4] == b"GIF8" and len(data) >= 10:
@@ -263,23 +358,25 @@ def image_size(data: bytes) -> tuple[str, int, int] | None:
 
 
 def images(files: DataFrame) -> DataFrame:
-    """(relative_path, format, width, height, size, modified_at) of the image files of a scan."""
+    """(relative_path, size, modified_at, format, width, height, taken_at, camera) of the image files of a scan; the time it was taken, else made, else modified."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [(i, *s) for i, x in enumerate(b.column(3).to_pylist()) if x is not None and (s := image_size(x))]
+            found = [(i, *s, photo_fields(x)) for i, x in enumerate(b.column(3).to_pylist()) if x is not None and (s := image_size(x))]
             at = pa.array([f[0] for f in found], pa.int64())
+            told = lambda *tags: pa.array([next((f[4][t] for t in tags if isinstance(f[4].get(t), str)), None) for f in found], pa.string())  # noqa: B023, E731
             yield pa.RecordBatch.from_arrays(
-                [*(b.column(k).take(at) for k in range(3)), pa.array([f[1] for f in found], pa.string()), pa.array([f[2] for f in found], pa.int32()), pa.array([f[3] for f in found], pa.int32())],
-                ["relative_path", "size", "modified_at", "format", "width", "height"],
+                [*(b.column(k).take(at) for k in range(3)), pa.array([f[1] for f in found], pa.string()), pa.array([f[2] for f in found], pa.int32()), pa.array([f[3] for f in found], pa.int32()), told(_TAKEN, _MADE), told(_MODEL)],
+                ["relative_path", "size", "modified_at", "format", "width", "height", "taken", "camera"],
             )
 
     picked = files.where(document_type(F.col("relative_path")) == "image").select("relative_path", "size", "modified_at", "content")
-    return picked.mapInArrow(run, "relative_path string, size long, modified_at timestamp, format string, width int, height int")
+    read = picked.mapInArrow(run, "relative_path string, size long, modified_at timestamp, format string, width int, height int, taken string, camera string")
+    return read.withColumn("taken_at", F.coalesce(F.try_to_timestamp("taken", F.lit("yyyy:MM:dd HH:mm:ss")), "modified_at")).drop("taken")
 
 
 def docx_texts(files: DataFrame) -> DataFrame:
-    """(relative_path, text, headings, n_tables, error) of the DOCX files of a scan; a broken file only gives its error."""
+    """(relative_path, text, headings, n_tables, title, author, error) of the DOCX files of a scan; a broken file only gives its error."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -287,15 +384,16 @@ def docx_texts(files: DataFrame) -> DataFrame:
             for x in b.column(1).to_pylist():
                 try:
                     text, heads, tables = docx_parts(x)
-                    rows.append((text, [h for h, _ in heads], len(tables), None))
+                    told = docx_properties(x)
+                    rows.append((text, [h for h, _ in heads], len(tables), told.get("title"), told.get("author"), None))
                 except (zipfile.BadZipFile, KeyError, ElementTree.ParseError) as e:
-                    rows.append((None, None, None, str(e)[:200] or type(e).__name__))
-            cols = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
-            types = (pa.string(), pa.list_(pa.string()), pa.int32(), pa.string())
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], ["relative_path", "text", "headings", "n_tables", "error"])
+                    rows.append((None, None, None, None, None, str(e)[:200] or type(e).__name__))
+            cols = list(zip(*rows, strict=True)) if rows else [[] for _ in range(6)]
+            types = (pa.string(), pa.list_(pa.string()), pa.int32(), pa.string(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], ["relative_path", "text", "headings", "n_tables", "title", "author", "error"])
 
     picked = files.where(document_type(F.col("relative_path")) == "docx").select("relative_path", "content")
-    return picked.mapInArrow(run, "relative_path string, text string, headings array<string>, n_tables int, error string")
+    return picked.mapInArrow(run, "relative_path string, text string, headings array<string>, n_tables int, title string, author string, error string")
 
 
 def detect_tables(items: list[tuple[float, float, float, str]], line_tolerance: float = 0.3, column_tolerance: float = 1.0) -> list[list[list[str]]]:
