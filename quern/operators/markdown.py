@@ -237,11 +237,6 @@ def tables(docs: DataFrame, max_tokens: int = 500) -> DataFrame:
     return _exploded(docs, "table_index int, part int, content string, caption string, columns int, rows int", rows)
 
 
-def first_of(df: DataFrame, key: str, order: str, *keep: str) -> DataFrame:
-    """One row a key: the first by order, folded before the shuffle."""
-    return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.min_by(F.struct(*keep), F.col(order)).alias("_v")).select(key, "_v.*")
-
-
 def resolve_links(found: DataFrame, docs: DataFrame, section_index: DataFrame, symbols: DataFrame) -> DataFrame:
     """Links with ``node``, ``kind``: wiki links by title, stem, section, symbol; others by path, stem, else external.
 
@@ -270,6 +265,24 @@ def resolve_links(found: DataFrame, docs: DataFrame, section_index: DataFrame, s
     return joined.withColumn("node", node).where(F.col("node").isNotNull()).select(*found.columns, "node")
 
 
+def reassembled(chunks: DataFrame) -> DataFrame:
+    """(doc_id, table_index, caption, columns, n_rows, n_parts) of tables put together again from their chunks (doc_id, table_index, part, content)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for i, parts in enumerate(b.column(2).to_pylist()):
+                t = reassemble([p["content"] for p in parts])
+                out.append((i, t["caption"] if t else None, t["columns"] if t else 0, len(t["rows"]) if t else 0, len(parts)))
+            cols = list(zip(*out, strict=True)) if out else [[] for _ in range(5)]
+            at = pa.array(cols[0], pa.int64())
+            types = (pa.string(), pa.int32(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), *(pa.array(c, t) for c, t in zip(cols[1:], types, strict=True))], ["doc_id", "table_index", "caption", "columns", "n_rows", "n_parts"])
+
+    grouped = chunks.groupBy("doc_id", "table_index").agg(F.sort_array(F.collect_list(F.struct("part", "content"))).alias("parts"))  # the parts of one table
+    return grouped.mapInArrow(run, f"doc_id {chunks.schema['doc_id'].dataType.simpleString()}, table_index int, caption string, columns int, n_rows int, n_parts int")
+
+
 def nearest_heading(positions: DataFrame, heads: DataFrame) -> DataFrame:
     """Each position (doc_id, offset, ...) with the last section title at or before it: an as-of join by a window."""
     extra = [c for c in positions.columns if c not in ("doc_id", "offset")]

@@ -25,7 +25,7 @@ def _entities(spark: SparkSession, d: str) -> dict[str, Entity]:
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """The direct orphans of the cascade; the inherited ones drop out of the plan."""
-    return p3_cascade(spark, d).where("kind = 'direct'").select("ref_table", "ref_field", "row_id", "ref_month")
+    return orphan_cascade(_entities(spark, d), REFERENCES, keep=False).where("kind = 'direct'").select("ref_table", "ref_field", "row_id", "ref_month")
 
 
 def p3_cascade(spark: SparkSession, d: str) -> DataFrame:

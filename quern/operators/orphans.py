@@ -161,18 +161,21 @@ def _children(entities: Mapping[str, Entity], references: Sequence[Reference], f
 COMPACT = 16
 
 
-def orphan_cascade(entities: Mapping[str, Entity], references: Sequence[Reference]) -> DataFrame:
+def orphan_cascade(entities: Mapping[str, Entity], references: Sequence[Reference], keep: bool = True) -> DataFrame:
     """Direct and inherited orphans: (ref_table, ref_field, row_id, ref_month, kind, depth).
 
     ``kind`` is ``direct`` (depth 0) or ``inherited`` (depth = number of references up to the nearest
     row that is directly orphaned). A reference that is direct is not reported as inherited as well.
-    The direct orphans go through the checkpoint folder, as every round starts from them. Without a cycle
+    The direct orphans go through the checkpoint folder, as every round starts from them, unless ``keep`` is off,
+    for those who only take the direct ones. Without a cycle
     the rounds are a lazy plan; in a cyclic graph each round's new rows are checkpointed, alone, until
     a round brings none, however deep the chain.
     """
     keys = ["ref_table", "ref_field", "row_id"]
     depth = _depth(references)
-    direct = checkpointed(direct_orphans(entities, references))
+    direct = direct_orphans(entities, references)
+    if keep or depth is None:
+        direct = checkpointed(direct)
     out = direct.withColumns({"kind": F.lit("direct"), "depth": F.lit(0)})
     frontier = direct.select("ref_table", "row_id").distinct()
     known = frontier

@@ -82,6 +82,14 @@ def _doc_graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return D.build_document_graph(docs, symbols.select("repository", "name", T.node_id("Function", F.col("repository"), F.col("name")).alias("id")))
 
 
+def markdown_tables_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Tables cut into chunks of at most 40 tokens and put together again, beside what they were."""
+    docs = _markdown(spark, d)
+    whole = M.tables(docs, 1_000_000).select("doc_id", "table_index", F.col("columns").alias("_c"), F.col("rows").alias("_r"))
+    back = M.reassembled(M.tables(docs, 40))
+    return back.join(whole, ["doc_id", "table_index"], "full").select("doc_id", "table_index", "n_parts", (F.col("columns").eqNullSafe(F.col("_c")) & F.col("n_rows").eqNullSafe(F.col("_r"))).alias("same"))
+
+
 def doc_graph_counts(spark: SparkSession, d: str) -> DataFrame:
     return G.counts(*_doc_graph(spark, d))
 
@@ -157,6 +165,7 @@ QUERIES = {
     "chunk_headings": chunk_headings,
     "url_links": url_links,
     "doc_graph_counts": doc_graph_counts,
+    "markdown_tables_whole": markdown_tables_whole,
     "doc_graph_documents": doc_graph_documents,
     "doc_mentions": doc_mentions,
     "chunk_lines_cover": chunk_lines_cover,

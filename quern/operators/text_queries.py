@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
+from quern.operators.maintenance import change_kinds as change_kinds_of
 from quern.tables import table
 
 
@@ -67,7 +68,44 @@ def word_counts(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", n.cast("long").alias("n_words"), (n == F.col("word_count")).alias("same"))
 
 
+def text_shapes(spark: SparkSession, d: str) -> DataFrame:
+    """Words, sentences, lines and escaped titles of the documents."""
+    docs = table(spark, d, "documents", "doc_id", "text", "title", "file_size_bytes")
+    return docs.select(
+        "doc_id",
+        F.when(F.col("text").isNotNull(), F.size(T.words(F.col("text")))).cast("long").alias("n_words"),
+        F.when(F.col("text").isNotNull(), F.size(T.sentences(F.col("text")))).cast("long").alias("n_sentences"),
+        F.regexp_count(T.normalize_line_ends(F.col("text")), F.lit("\n")).cast("long").alias("n_line_ends"),
+        T.anchor_slug(F.col("title")).alias("slug"), T.escape_cell(F.col("title")).alias("cell"), T.unescape_cell(T.escape_cell(F.col("title"))).alias("back"), T.csv_cell(F.concat("title", F.lit(', "x"'))).alias("csv"),
+        T.elapsed(F.col("file_size_bytes") * 1000).alias("elapsed"),
+    )
+
+
+def wiki_links(spark: SparkSession, d: str) -> DataFrame:
+    """Targets of double-bracket links made of titles, with and without a label."""
+    docs = table(spark, d, "documents", "doc_id", "title").where("title is not null")
+    made = F.concat(F.lit("see [["), "title", F.lit("]] and [["), "title", F.lit(" | label]]"))
+    return docs.select("doc_id", F.array_join(T.wikilinks(made), "|").alias("targets"))
+
+
+def url_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """Whether repositories' places are external addresses, and what imports of them would be."""
+    r = table(spark, d, "repositories", "repo_name", "url", "local_path")
+    place = F.coalesce("url", "local_path")
+    return r.select("repo_name", T.is_external_url(place).alias("external"), T.is_external_package(place).alias("package"))
+
+
+def change_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """Events as lines of a commit comparison."""
+    named = F.create_map(*[F.lit(x) for kv in {"signup": "A", "purchase": "R100", "error": "removed", "view": "Copied", "click": "T"}.items() for x in kv])
+    return change_kinds_of(table(spark, d, "events", "event_type").select(named[F.col("event_type")].alias("status"))).groupBy("status", "change").agg(F.count(F.lit(1)).alias("n"))
+
+
 QUERIES = {
+    "text_shapes": text_shapes,
+    "wiki_links": wiki_links,
+    "url_kinds": url_kinds,
+    "change_kinds": change_kinds,
     "token_estimate": token_estimate,
     "content_hash": content_hash,
     "snippet": snippet,
@@ -85,6 +123,14 @@ _EXT = rf"lower(regexp_extract({_POSIX}, '[^/](\.[^./]*)$', 1))"
 _LANG = "CASE ext " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in T.LANGUAGES.items()) + " ELSE 'unknown' END"
 
 SQL = {
+    "text_shapes": r"""SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS n_words, len(regexp_extract_all(text, '[.!?]\s+')) + 1 AS n_sentences,
+  len(string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10))) - 1 AS n_line_ends, replace(lower(title), ' ', '-') AS slug,
+  replace(replace(title, '\', '\\'), '|', '\|') AS cell, title AS back, chr(34) || replace(title, chr(34), chr(34) || chr(34)) || ', ' || chr(34) || chr(34) || 'x' || chr(34) || chr(34) || chr(34) AS csv,
+  CASE WHEN file_size_bytes < 60 THEN file_size_bytes || 's' WHEN file_size_bytes < 3600 THEN file_size_bytes // 60 || 'm' WHEN file_size_bytes < 86400 THEN file_size_bytes // 3600 || 'h ' || file_size_bytes % 3600 // 60 || 'm' ELSE file_size_bytes // 86400 || 'd' END AS elapsed FROM documents""",
+    "wiki_links": "SELECT doc_id, trim(title) || '|' || trim(title) AS targets FROM documents WHERE title IS NOT NULL",
+    "url_kinds": """SELECT repo_name, regexp_matches(coalesce(url, local_path), '^(?i)([a-z][a-z0-9+.-]*:|//)') AS external, left(coalesce(url, local_path), 1) NOT IN ('.', '/') AS package FROM repositories""",
+    "change_kinds": """SELECT status, CASE status WHEN 'A' THEN 'added' WHEN 'Copied' THEN 'added' WHEN 'removed' THEN 'deleted' WHEN 'R100' THEN 'renamed' ELSE 'modified' END AS change, count(*) AS n
+FROM (SELECT CASE event_type WHEN 'signup' THEN 'A' WHEN 'purchase' THEN 'R100' WHEN 'error' THEN 'removed' WHEN 'view' THEN 'Copied' WHEN 'click' THEN 'T' END AS status FROM events) GROUP BY status""",
     "token_estimate": "SELECT doc_id, CAST(ceil(length(text) / 4) AS BIGINT) AS tokens, CAST(length(text) AS BIGINT) AS n_code_points FROM documents",
     "content_hash": "SELECT file_id, sha256(content) AS content_hash, sha256(content) = hash AS matches FROM file_inputs",
     "snippet": """SELECT doc_id, CASE WHEN length(text) <= 500 THEN text ELSE
