@@ -63,6 +63,20 @@ def code_exports_own(spark: SparkSession, d: str) -> DataFrame:
     return C.filter_exports(C.parsed(_files(spark, d), "exports"), False)
 
 
+def code_declared(spark: SparkSession, d: str) -> DataFrame:
+    """Functions of Go and exported functions of scripts that stand at a line's start."""
+    f = _files(spark, d).where("repository is not null")
+    rows = C.parse_files(f, "entities").where("language in ('go', 'typescript', 'javascript')")
+    top = C.explode_part(rows, "entities").where("kind = 'function' and (language = 'go' or signature rlike '^export (async )?function')")
+    return top.select("repository", "path", "name").distinct()
+
+
+def code_imported(spark: SparkSession, d: str) -> DataFrame:
+    """Sources of scripts' imports and packages of Java's that stand on lines of their own."""
+    rows = C.parse_files(_files(spark, d).where("repository is not null"), "imports").where("language in ('typescript', 'javascript', 'java')")
+    return C.explode_part(rows, "imports").where("not (name = '*' and alias = '' and language != 'java')").select("repository", "path", "source").distinct()
+
+
 QUERIES = {
     "code_entities": code_entities,
     "code_imports": code_imports,
@@ -72,9 +86,18 @@ QUERIES = {
     "code_graph_counts": code_graph_counts,
     "code_file_dependents": code_file_dependents,
     "code_metadata": code_metadata,
+    "code_declared": code_declared,
+    "code_imported": code_imported,
     "code_entities_exported": code_entities_exported,
     "code_imports_filtered": code_imports_filtered,
     "code_exports_own": code_exports_own,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "code_declared": r"""WITH l AS (SELECT repository, regexp_replace(replace(path, '\', '/'), '^(\./)+', '') AS path, lower(regexp_extract(path, '\.[^.]*$')) AS ext, unnest(string_split(content, chr(10))) AS x FROM file_inputs WHERE repository IS NOT NULL)
+SELECT DISTINCT repository, path, regexp_extract(x, CASE WHEN ext = '.go' THEN '^func (\w+)[\[(]' ELSE '^export (?:async )?function\*? ?(\w+)' END, 1) AS name FROM l
+WHERE (ext = '.go' AND regexp_matches(x, '^func (\w+)[\[(]')) OR (ext IN ('.ts', '.mts', '.js', '.mjs') AND regexp_matches(x, '^export (?:async )?function\*? ?(\w+)'))""",
+    "code_imported": r"""WITH l AS (SELECT repository, regexp_replace(replace(path, '\', '/'), '^(\./)+', '') AS path, lower(regexp_extract(path, '\.[^.]*$')) AS ext, unnest(string_split(content, chr(10))) AS x FROM file_inputs WHERE repository IS NOT NULL)
+SELECT DISTINCT repository, path, CASE WHEN ext = '.java' THEN regexp_extract(x, '^import (?:static )?([\w.*]+) *;', 1) ELSE regexp_extract(x, '^import (?:[^''"]* from )?[''"]([^''"]+)[''"]', 1) END AS source FROM l
+WHERE (ext = '.java' AND regexp_matches(x, '^import (?:static )?([\w.*]+) *;')) OR (ext IN ('.ts', '.mts', '.js', '.mjs') AND regexp_matches(x, '^import (?:[^''"]* from )?[''"]([^''"]+)[''"]'))""",
+}

@@ -103,6 +103,7 @@ _DECLARED: dict[str, list[tuple[str, re.Pattern]]] = {
 for _a, _b in (("typescript", "javascript"), ("tsx", "javascript"), ("jsx", "javascript"), ("cpp", "c")):
     _DECLARED[_a] = _DECLARED[_b]
 
+_SCRIPT_IMPORT = re.compile(r"^[ \t]*import\s+(?:type\s+)?(?:[\w$*{}\s,]+?\s+from\s+)?[\"']([^\"'\n]+)[\"']", re.M)
 _LINE_IMPORT = {
     "java": re.compile(r"^[ \t]*import\s+(?:static\s+)?(?P<source>[\w.]+(?:\.\*)?)\s*;", re.M),
     "csharp": re.compile(r"^[ \t]*using\s+(?:static\s+)?(?P<source>[\w.]+)\s*;", re.M),
@@ -166,7 +167,9 @@ def parse_other(text: str, lang: str) -> Code:
             out.entities.append(Entity(kind, name, line, line_of(max(at, end - 1)), exported, signature))
             if kind in ("function", "method"):
                 spans.append((at, end, name))
-    if lang in _LINE_IMPORT:
+    if lang in ("javascript", "typescript", "tsx", "jsx"):
+        out.imports = [(m.group(1), "", "", False, False, line_of(m.start())) for m in _SCRIPT_IMPORT.finditer(text)]
+    elif lang in _LINE_IMPORT:
         for m in _LINE_IMPORT[lang].finditer(text):
             source = m.group("source")
             out.imports.append((source, re.split(r"[./\\:]+", source)[-1], "", False, False, line_of(m.start())))
