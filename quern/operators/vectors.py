@@ -219,29 +219,36 @@ def _celled(vectors: DataFrame, cells: Cells, nearest: int) -> DataFrame:
     return vectors.select(first, F.col(second).cast("array<float>").alias(second)).mapInArrow(run, f"{first} {kind}, {second} array<float>, cell int")
 
 
-#: Vectors of a cell that one task scores at a time; larger cells are cut into such pieces.
-CELL_ROWS = 20_000
+#: Vectors of a cell and queries that probe it that one task scores at a time; larger cells are cut into such pieces.
+CELL_ROWS, CELL_QUERIES = 20_000, 50_000
 
 
 def top_k_indexed(vectors: DataFrame, queries: DataFrame, cells: Cells, k: int = 10, threshold: float = 0.7, probes: int = 16) -> DataFrame:
     """The same rows as ``top_k`` but for neighbours outside each query's ``probes`` nearest cells (the tests measure the recall).
 
     Every vector lies in its nearest cell. Vectors are scanned and shuffled once for all queries, which go to the
-    pieces of the cells they probe; a cell that holds very many vectors is cut into pieces of about ``CELL_ROWS``.
+    pieces of the cells they probe; a cell that holds very many vectors is cut into pieces of about ``CELL_ROWS``,
+    its queries into such of ``CELL_QUERIES``, and each piece meets each.
     """
     first, second = vectors.columns[:2]
-    placed = _celled(vectors.select(first, second), cells, 1)
-    sizes = {r["cell"]: r["n"] for r in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a cell
-    pieces = F.create_map(*[F.lit(x) for c in range(len(cells.centres)) for x in (c, -(-sizes.get(c, 1) // CELL_ROWS))])
-    a = placed.withColumn("piece", F.pmod(F.xxhash64(first), pieces[F.col("cell")]))
-    q = _celled(queries.select(F.col(queries.columns[0]).alias("query_id"), queries.columns[1]), cells, min(probes, len(cells.centres)))
-    b = q.withColumn("piece", F.explode(F.sequence(F.lit(0), pieces[F.col("cell")] - 1))).select("query_id", F.col(queries.columns[1]).alias("_q"), "cell", F.col("piece").cast("long").alias("piece"))
+    n_cells = len(cells.centres)
+
+    def pieces_of(rows: DataFrame, most: int) -> Column:
+        sizes = {r["cell"]: r["n"] for r in rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a cell
+        return F.create_map(*[F.lit(x) for c in range(n_cells) for x in (c, max(1, -(-sizes.get(c, 1) // most)))])[F.col("cell")]
+
+    a = _celled(vectors.select(first, second), cells, 1)
+    b = _celled(queries.select(F.col(queries.columns[0]).alias("query_id"), F.col(queries.columns[1]).alias("_q")), cells, min(probes, n_cells))
+    parts, blocks = pieces_of(a, CELL_ROWS), pieces_of(b, CELL_QUERIES)
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1)).cast("long")
+    a = a.withColumn("piece", F.pmod(F.xxhash64(first), parts)).withColumn("block", every(blocks))
+    b = b.withColumn("block", F.pmod(F.xxhash64("query_id"), blocks)).withColumn("piece", every(parts))
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         empty = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "similarity": pa.array([], pa.float64())})
         if not left.num_rows or not right.num_rows:
             return empty
-        unit = lambda t, c: _unit(np.array(t.column(c).to_pylist(), np.float64))
+        unit = lambda t, c: _unit(t.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(t.num_rows, -1))
         m, ids, query_ids = unit(left, second), left.column(first).to_numpy(), right.column("query_id").to_numpy()
         out = []
         for at in range(0, right.num_rows, QUERY_BLOCK):
@@ -254,6 +261,7 @@ def top_k_indexed(vectors: DataFrame, queries: DataFrame, cells: Cells, k: int =
             out.append(pa.table({"query_id": pa.array(query_ids[at : at + len(sim)][row[keep]], pa.int64()), "vec_id": pa.array(ids[col[keep]], pa.int64()), "similarity": pa.array(sim[row[keep], col[keep]])}))
         return pa.concat_tables(out) if out else empty
 
-    found = a.groupBy("cell", "piece").cogroup(b.groupBy("cell", "piece")).applyInArrow(score, "query_id long, vec_id long, similarity double")
+    by = ("cell", "piece", "block")
+    found = a.groupBy(*by).cogroup(b.groupBy(*by)).applyInArrow(score, "query_id long, vec_id long, similarity double")
     best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)

@@ -72,11 +72,12 @@ def test_groups_and_index(spark):
     df = spark.createDataFrame([*rows, (900, None)], "vec_id long, embedding array<float>")
     q = df.where("vec_id % 20 = 0")
     cells = V.Cells.fit(df, 24)
-    V.CELL_ROWS, usual = 100, V.CELL_ROWS
+    usual = V.CELL_ROWS, V.CELL_QUERIES
+    V.CELL_ROWS, V.CELL_QUERIES = 100, 20
     exact = {(r.query_id, r.vec_id) for r in V.top_k(df, q, 10, 0.5).collect()}
     got = {(r.query_id, r.vec_id) for r in V.top_k_indexed(df, q, cells, 10, 0.5, 8).collect()}
     every = {(r.query_id, r.vec_id) for r in V.top_k_indexed(df, q, cells, 10, 0.5, 24).collect()}
-    V.CELL_ROWS = usual
+    V.CELL_ROWS, V.CELL_QUERIES = usual
     assert every == exact and len(exact & got) >= 0.9 * len(exact)
     found, warnings = V.search_groups({("a", "m", 16): (df, rows[0][1]), ("b", "m", 8): (df, rows[0][1])}, 5, 0.0)
     assert found.first().vec_id == 0 and found.count() == 5 and len(warnings) == 1
