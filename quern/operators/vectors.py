@@ -240,7 +240,7 @@ def top_k_indexed(vectors: DataFrame, queries: DataFrame, cells: Cells, k: int =
     a = _celled(vectors.select(first, second), cells, 1)
     b = _celled(queries.select(F.col(queries.columns[0]).alias("query_id"), F.col(queries.columns[1]).alias("_q")), cells, min(probes, n_cells))
     parts, blocks = pieces_of(a, CELL_ROWS), pieces_of(b, CELL_QUERIES)
-    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1)).cast("long")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1))
     a = a.withColumn("piece", F.pmod(F.xxhash64(first), parts)).withColumn("block", every(blocks))
     b = b.withColumn("block", F.pmod(F.xxhash64("query_id"), blocks)).withColumn("piece", every(parts))
 
