@@ -19,6 +19,7 @@ from __future__ import annotations
 import base64
 import json
 import re
+import sys
 from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -168,8 +169,8 @@ class MergeReplay:
 
 
 def replayer(path: str) -> MergeReplay:
-    """The vocabulary, read once for all tasks of a Python worker that is used again."""
-    held = globals().setdefault("_REPLAYERS", {})
+    """The vocabulary with the words met so far, kept for all tasks of a Python worker; functions come anew with each task, the process stays."""
+    held = sys.__dict__.setdefault("_quern_vocabularies", {})
     if path not in held:
         held.clear()
         held[path] = MergeReplay(path)

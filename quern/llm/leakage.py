@@ -35,7 +35,7 @@ from quern.shipping import ship, unpack
 K, WINDOW = 5, 8
 MIN_WORDS = K + WINDOW - 1
 
-_TAG = re.compile(r"</?[A-Za-z][^<>\n]*>|<!--.*?-->", re.S)
+_TAG = re.compile(r"</?[A-Za-z][^<>\n]*+>|<!--.*?-->", re.S)
 _LINK = re.compile(r"\]\([^()\s]*\)")
 _BROKEN = re.compile(r"(?<=[^\W\d_])(?:[-‐¬][ \t]*\r?\n[ \t>]*|­\s*)(?=[^\W\d_])")
 _HYPHEN = re.compile(r"(?<=\w)[-‐‑](?=\w)")
