@@ -23,13 +23,12 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_secrets(spark: SparkSession, d: str) -> DataFrame:
-    files = _files(spark, d)
-    return secrets.secrets(files, secrets.train(table(spark, d, "file_inputs")))
+    return secrets.secrets(_files(spark, d))
 
 
 def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
     files = _files(spark, d)
-    return secrets.redacted(files, secrets.train(table(spark, d, "file_inputs")))
+    return secrets.redacted(files, secrets.train(files))
 
 
 def _scanned(spark: SparkSession, d: str) -> DataFrame:

@@ -10,7 +10,9 @@ plain words are negative, everything else stays unlabelled. Scores are calibrate
 values at or above the threshold are secrets. Key and certificate blocks are candidates by their frame, which is
 a feature and their weak label.
 
-The model is fitted on a bounded sample of files (``sample_files``, drawn by a hash of the id).
+The model is fitted on all files: words, features and labelled candidates are counted over the whole table. Candidates
+with the same features and label are folded to one lesson with their number. What a step of the fit needs are sums over the
+lessons; they are made on the driver as long as the lessons are few (``KEPT``), else where the lessons lie, a Spark job a step.
 
 Defined results
 * null and empty contents hold nothing; a secret is reported on the line its value begins on (lines are
@@ -23,10 +25,12 @@ Defined results
 from __future__ import annotations
 
 import math
+import pickle
 import re
+import zlib
 from bisect import bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from itertools import accumulate
 
@@ -35,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.sources import bounded
+from quern.session import checkpointed
 from quern.shipping import ship, unpack
 
 #: Well-known formats of keys, only used as weak labels and as a shape feature.
@@ -248,17 +252,36 @@ def parts(name: str) -> list[str]:
     return [p.lower() for p in _PART.findall(name)]
 
 
+def ordinary_words(texts: Iterable[str]) -> Counter:
+    """Lower-case and title-case words of texts, in lower case, with their numbers."""
+    seen: Counter = Counter()
+    for text in texts:
+        seen.update(_WORD.findall(text))
+    out: Counter = Counter()
+    for w, n in seen.items():
+        if w.islower() or w.istitle():
+            out[w.lower()] += n
+    return out
+
+
+def pairs_of(words: Iterable[tuple[str, int]]) -> Counter:
+    """Pairs of neighbouring characters in the words that are not single, each word counted up to 50 times."""
+    pairs: Counter = Counter()
+    for w, n in words:
+        if n > 1 and len(w) <= 20:
+            s = f"^{w}$"
+            for a, b in zip(s, s[1:], strict=False):
+                pairs[a + b] += min(n, 50)
+    return pairs
+
+
 class Markov:
     """Mean log-probability of a text's characters under a bigram model of ordinary words."""
 
-    def __init__(self, words: Counter) -> None:
-        pairs: Counter = Counter()
+    def __init__(self, pairs: Counter) -> None:
         firsts: Counter = Counter()
-        for w, n in words.items():
-            s = f"^{w}$"
-            for a, b in zip(s, s[1:], strict=False):
-                pairs[a + b] += n
-                firsts[a] += n
+        for k, n in pairs.items():
+            firsts[k[0]] += n
         self.table = {k: math.log((n + 0.2) / (firsts[k[0]] + 0.2 * 40)) for k, n in pairs.items()}
         self.missing = {a: math.log(0.2 / (n + 0.2 * 40)) for a, n in firsts.items()}
 
@@ -279,14 +302,16 @@ def _bin(x: float, edges: tuple[float, ...]) -> int:
 MARKOV_BINS = (-6.0, -5.5, -5.0, -4.5, -4.0, -3.6, -3.2, -2.8, -2.4)
 
 
-def features(c: Candidate, path: str | None, markov: Markov) -> list[str]:
-    """The named features of a candidate that are present; of a block only its frame and its characters."""
+def path_features(path: str | None) -> list[str]:
+    return [f"ext={extension_of(path)}", *(f"dir={p}" for p in re.split(r"[/\\.]+", (path or "").lower())[:-1] if p)]
+
+
+def features(c: Candidate, markov: Markov) -> list[str]:
+    """The named features of a candidate that are present, but for its path's and whether it is in a comment; of a block only its frame and its characters."""
     v = c.value
     if c.kind == "block":
         return ["kind=block", f"frame={c.before}", f"private={'private' in c.before}", f"markov={_bin(markov.mean(v[:64]), MARKOV_BINS)}"]
-    f = [f"kind={c.kind}", f"comment={c.comment}", f"ext={extension_of(path)}"]
-    f += [f"dir={p}" for p in re.split(r"[/\\.]+", (path or "").lower())[:-1] if p]
-    f.append(f"markov={_bin(markov.mean(v), MARKOV_BINS)}")
+    f = [f"kind={c.kind}", f"markov={_bin(markov.mean(v), MARKOV_BINS)}"]
     f.append(f"length={_bin(len(v), (8, 12, 16, 20, 24, 32, 40, 48, 64, 100, 200))}")
     lower, upper = any(map(str.islower, v)), any(map(str.isupper, v))
     digit, other = any(map(str.isdigit, v)), any(not x.isalnum() for x in v)
@@ -366,72 +391,327 @@ def weak_label(c: Candidate) -> int | None:
     return None
 
 
+class Described:
+    """Candidates' labels and features; what does not hang on the place is kept for the next candidate like it."""
+
+    def __init__(self, markov: Markov) -> None:
+        self.markov = markov
+        self.kept: dict[tuple, tuple[bool, int | None, list[str]]] = {}
+
+    def of(self, c: Candidate, of_path: list[str]) -> tuple[bool, int | None, list[str]]:
+        """(whether it is plainly none, weak label, features)."""
+        key = (c.kind, c.value, c.name, c.before)
+        known = self.kept.get(key)
+        if known is None:
+            known = (ordinary(c), weak_label(c), features(c, self.markov))
+            if len(c.value) <= 200:
+                if len(self.kept) >= 50_000:
+                    self.kept.clear()
+                self.kept[key] = known
+        if c.kind == "block":
+            return known
+        return known[0], known[1], [*known[2], f"comment={c.comment}", *of_path]
+
+
 class Model:
     """Logistic regression over named features, with calibrated scores."""
 
     def __init__(self, markov: Markov, weights: dict[str, float], bias: float, scale: float, shift: float) -> None:
         self.markov, self.weights, self.bias, self.scale, self.shift = markov, weights, bias, scale, shift
 
-    def score(self, c: Candidate, path: str | None) -> float:
-        get = self.weights.get
-        z = self.bias + sum([get(x, 0.0) for x in features(c, path, self.markov)])
-        return 1.0 / (1.0 + math.exp(-max(-40.0, min(40.0, self.scale * z + self.shift))))
-
-
-def fit(rows: list[tuple[str | None, str]], rounds: int = 800, ridge: float = 1e-5) -> Model:
-    """Train on the weak labels of some files' candidates; every fifth labelled candidate calibrates."""
-    words: Counter = Counter()
-    for _, text in rows:
-        words.update(w.lower() for w in _WORD.findall(text) if w.islower() or w.istitle())
-    markov = Markov(Counter({w: min(n, 50) for w, n in words.items() if n > 1 and len(w) <= 20}))
-    bags: list[list[str]] = []
-    labels: list[int] = []
-    for path, text in rows:
-        for c in candidates(text, path):
-            if (y := weak_label(c)) is not None:
-                bags.append(features(c, path, markov))
-                labels.append(y)
-    count: Counter = Counter(x for b in bags for x in b)
-    known = {x: i for i, x in enumerate(sorted(x for x, n in count.items() if n >= 3))}
-    if not known or len(set(labels)) < 2:
+    def scores(self, z: np.ndarray) -> np.ndarray:
+        """Calibrated scores of sums of weights."""
+        return 1.0 / (1.0 + np.exp(-np.clip(self.scale * (z + self.bias) + self.shift, -40.0, 40.0)))
+
+
+def held_out(path: str | None, c: Candidate) -> bool:
+    """Whether a candidate calibrates: about every fifth, by a hash of its place and value."""
+    return zlib.crc32(f"{path}\t{c.spans[0][0]}\t{c.value}".encode("utf-8", "surrogatepass")) % 5 == 0
+
+
+def sketch(rows: Iterable[tuple[str | None, str]], described: Described) -> tuple:
+    """The candidates of files as numbers: (names of features, positions in them, number a candidate, label or -1, held out, whether it is scored, (row, line, kind, name) of those scored)."""
+    names: dict[str, int] = {}
+    flat: list[int] = []
+    sizes, labels, held, scored, places = [], [], [], [], []
+    for i, (path, text) in enumerate(rows):
+        of_path = path_features(path)
+        for c in candidates(text, path) if text else ():
+            plain, label, f = described.of(c, of_path)
+            if label is None and plain:
+                continue
+            flat += [names.setdefault(x, len(names)) for x in f]
+            sizes.append(len(f))
+            labels.append(-1 if label is None else label)
+            held.append(label is not None and held_out(path, c))
+            scored.append(not plain)
+            if not plain:
+                places.append((i, c.line, "private" if c.kind == "block" else c.kind, c.name[:100]))
+    return list(names), np.array(flat, np.int32), np.array(sizes, np.int32), np.array(labels, np.int8), np.array(held, bool), np.array(scored, bool), places
+
+
+def taught_names(s: tuple) -> Counter:
+    """How often each feature stands in labelled candidates."""
+    names, flat, sizes, labels, *_ = s
+    n = np.bincount(flat[np.repeat(labels >= 0, sizes)], minlength=len(names))
+    return Counter({names[i]: int(n[i]) for i in np.flatnonzero(n)})
+
+
+def lessons_of(s: tuple, known: dict[str, int]) -> Counter:
+    """(known features, label, held out) of labelled candidates with the number of those alike."""
+    names, flat, sizes, labels, held, *_ = s
+    at = np.array([known.get(x, -1) for x in names], np.int32)
+    out: Counter = Counter()
+    ends = np.cumsum(sizes)
+    for k in np.flatnonzero(labels >= 0):
+        f = at[flat[ends[k] - sizes[k] : ends[k]]]
+        f = f[f >= 0]
+        f.sort()
+        out[f.tobytes(), int(labels[k]), bool(held[k])] += 1
+    return out
+
+
+class Lessons:
+    """Folded lessons as arrays."""
+
+    def __init__(self, rows: list[tuple[bytes, int, bool, int]]) -> None:
+        self.flat = np.frombuffer(b"".join(r[0] for r in rows), np.int32)
+        self.row = np.repeat(np.arange(len(rows)), [len(r[0]) // 4 for r in rows])
+        self.y = np.array([r[1] for r in rows], float)
+        self.held = np.array([r[2] for r in rows], bool)
+        self.n = np.array([r[3] for r in rows], float)
+
+    def z(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, w[self.flat], len(self.y)) + w[-1]
+
+    def slope(self, w: np.ndarray, share: tuple[float, float], all_teach: bool) -> np.ndarray:
+        """The weighted loss of the lessons and its gradient; the last of ``w`` is the bias."""
+        z = self.z(w)
+        weight = self.n * np.where(self.y == 1, share[1], share[0]) * (~self.held | all_teach)
+        g = weight * (1 / (1 + np.exp(-np.clip(z, -500, 500))) - self.y)
+        loss = (weight * (np.logaddexp(0.0, z) - self.y * z)).sum()
+        return np.concatenate([[loss], np.bincount(self.flat, g[self.row], len(w) - 1), [g.sum()]])
+
+    def spread(self, w: np.ndarray) -> np.ndarray:
+        """Number and sum of the held-out lessons' z by label and bin of z."""
+        z, label, n = self.z(w)[self.held], self.y[self.held].astype(int), self.n[self.held]
+        at = label * len(Z_BINS) + np.searchsorted(Z_BINS[1:], z, "right")
+        return np.concatenate([np.bincount(at, n, 2 * len(Z_BINS)), np.bincount(at, n * z, 2 * len(Z_BINS))])
+
+
+#: Bins of the sums that calibrate; each counts by its mean.
+Z_BINS = np.arange(-40.0, 40.0, 1 / 1024)
+
+
+def minimised(f: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray, rounds: int) -> np.ndarray:
+    """The minimum of a convex function that gives its value and gradient, by limited-memory BFGS."""
+    value, g = f(x)
+    past: list[tuple[np.ndarray, np.ndarray, float]] = []
+    for _ in range(rounds):
+        d, back = -g, []
+        for s, u, r in reversed(past):
+            a = r * (s @ d)
+            back.append(a)
+            d = d - a * u
+        if past:
+            s, u, _ = past[-1]
+            d = d * ((s @ u) / (u @ u))
+        for (s, u, r), a in zip(past, reversed(back), strict=True):
+            d = d + s * (a - r * (u @ d))
+        slope, step = g @ d, 1.0 if past else 1.0 / max(1.0, float(np.abs(g).sum()))
+        while True:
+            to = x + step * d
+            v, h = f(to)
+            if v <= value + 1e-4 * step * slope or step < 1e-10:
+                break
+            step /= 2
+        s, u = to - x, h - g
+        if value - v <= 1e-9 * value:
+            return to if v < value else x
+        if s @ u > 1e-12:
+            past = [*past[-9:], (s, u, 1.0 / (s @ u))]
+        x, value, g = to, v, h
+    return x
+
+
+def solved(total: Callable[[Callable[[Lessons], np.ndarray]], np.ndarray], known: dict[str, int], numbers: dict[tuple[int, bool], int], markov: Markov, rounds: int = 200, ridge: float = 1e-5) -> Model:
+    """Weights and calibration; ``total`` adds up what a function says of the lessons, ``numbers`` counts candidates by label and whether they are held out."""
+    if not known or not all(numbers.get((y, False), 0) + numbers.get((y, True), 0) for y in (0, 1)):
         return Model(markov, _UNTAUGHT | {"known": 8.0, "secretive-last": 2.0, "placeholder": -8.0}, -3.0, 1.0, 0.0)
-    cols = [[known[x] for x in b if x in known] for b in bags]
-    flat = np.array([j for r in cols for j in r], np.int64)
-    row = np.repeat(np.arange(len(cols)), [len(r) for r in cols])
-    y = np.array(labels, float)
-    held = np.arange(len(y)) % 5 == 0
-    use = ~held
-    weight = np.where(y == 1, 0.5 / max(1, y[use].sum()), 0.5 / max(1, (1 - y[use]).sum())) * use
-    w, bias = np.zeros(len(known)), 0.0
-    m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
-    for t in range(1, rounds + 1):
-        z = np.bincount(row, w[flat], len(y)) + bias
-        g = (1 / (1 + np.exp(-z)) - y) * weight
-        gw = np.bincount(flat, g[row], len(known)) + ridge * w
-        gb = g.sum()
-        m, mb = 0.9 * m + 0.1 * gw, 0.9 * mb + 0.1 * gb
-        v, vb = 0.99 * v + 0.01 * gw * gw, 0.99 * vb + 0.01 * gb * gb
-        c1, c2 = 1 - 0.9**t, 1 - 0.99**t
-        w -= 0.1 * (m / c1) / (np.sqrt(v / c2) + 1e-8)
-        bias -= 0.1 * (mb / c1) / (math.sqrt(vb / c2) + 1e-8)
-    z = (np.bincount(row, w[flat], len(y)) + bias)[held]
+    all_teach = not (numbers.get((0, False)) and numbers.get((1, False)))
+    share = tuple(0.5 / (numbers.get((y, False), 0) + (numbers.get((y, True), 0) if all_teach else 0)) for y in (0, 1))
+
+    def f(w: np.ndarray) -> tuple[float, np.ndarray]:
+        r = total(lambda x: x.slope(w, share, all_teach))
+        free = np.append(w[:-1], 0.0)  # the bias is not drawn to zero
+        return float(r[0]) + ridge / 2 * float(free @ free), r[1:] + ridge * free
+
+    w = minimised(f, np.zeros(len(known) + 1), rounds)
+    n, nz = total(lambda x: x.spread(w)).reshape(2, -1)
+    scale, shift = platt(nz[n > 0] / n[n > 0], (np.flatnonzero(n > 0) >= len(Z_BINS)).astype(float), n[n > 0]) if n.any() and not all_teach else (1.0, 0.0)
+    return Model(markov, _UNTAUGHT | {x: float(w[i]) for x, i in known.items()}, float(w[-1]), max(scale, 0.05), shift)
+
+
+def platt(z: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float]:
+    """Scale and shift that calibrate on the part held out."""
     scale, shift = 1.0, 0.0
-    for _ in range(200):  # Platt scaling on the held-out part
+    share = n / n.sum()
+    size = max(1.0, float(share @ np.abs(z)))
+    for _ in range(200):
         p = 1 / (1 + np.exp(-np.clip(scale * z + shift, -40, 40)))
-        scale -= 0.05 * float(((p - y[held]) * z).mean()) / max(1.0, float(np.abs(z).mean()))
-        shift -= 0.5 * float((p - y[held]).mean())
-    return Model(markov, _UNTAUGHT | {x: float(w[i]) for x, i in known.items()}, float(bias), max(scale, 0.05), shift)
+        scale -= 0.05 * float(share @ ((p - y) * z)) / size
+        shift -= 0.5 * float(share @ (p - y))
+    return scale, shift
+
+
+def _numbered(counts: dict[str, int]) -> dict[str, int]:
+    """Positions of the features that stand in three labelled candidates or more."""
+    return {x: i for i, x in enumerate(sorted(x for x, n in counts.items() if n >= 3))}
+
+
+def fit(rows: list[tuple[str | None, str]]) -> Model:
+    """Train on the weak labels of some files' candidates."""
+    markov = Markov(pairs_of(ordinary_words(text for _, text in rows).items()))
+    s = sketch(rows, Described(markov))
+    known = _numbered(taught_names(s))
+    folded = lessons_of(s, known)
+    numbers: Counter = Counter()
+    for (_, y, h), n in folded.items():
+        numbers[y, h] += n
+    lessons = Lessons(sorted((*k, n) for k, n in folded.items()))
+    return solved(lambda f: f(lessons), known, numbers, markov)
 
 
 #: Weights of key blocks' frames for samples that hold too few of them.
 _UNTAUGHT = {"private=True": 12.0, "private=False": -12.0}
 
 
-def train(files: DataFrame, sample_files: int = 4000) -> Model:
-    """Fit on about ``sample_files`` files, drawn by a hash of the id."""
-    there = files.where(F.col("content").isNotNull() & (F.col("content") != ""))
-    sample = bounded(there, "file_id", sample_files).select("path", "content").toArrow()
-    return fit(list(zip(sample.column(0).to_pylist(), sample.column(1).to_pylist(), strict=True)))
+#: So many features of folded lessons are kept on the driver at most.
+KEPT = 4_000_000
+#: So many entries are folded in a worker before they are given on.
+FOLDED = 200_000
+
+
+def _markov(there: DataFrame) -> Markov:
+    """The model of ordinary words, counted over all files."""
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            seen = ordinary_words(b.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+        for b in batches:
+            seen.update(pairs_of(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)))
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["pair", "n"])
+
+    counted = there.select("content").mapInArrow(words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    found = counted.mapInArrow(pairs, "pair string, n long").groupBy("pair").agg(F.sum("n").alias("n")).orderBy("pair").toArrow()
+    return Markov(Counter(dict(zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True))))
+
+
+def _sketches(there: DataFrame, markov: Markov) -> DataFrame:
+    """(ids, sketch): one row a batch of files, packed; ``ids`` is the batch of their ids (see ``sketch``)."""
+    shipped = ship(there.sparkSession, markov)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        described = Described(unpack(shipped))
+        for b in batches:
+            s = sketch(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True), described)
+            kept = sorted({p[0] for p in s[-1]})
+            at = {i: k for k, i in enumerate(kept)}
+            s = (*s[:-1], [(at[i], *rest) for i, *rest in s[-1]])
+            ids = pa.RecordBatch.from_arrays([b.column(0).take(pa.array(kept, pa.int64()))], ["file_id"])
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, ids.schema) as w:
+                w.write_batch(ids)
+            yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.array([zlib.compress(pickle.dumps(s, 5), 1)], pa.binary())], ["ids", "sketch"])
+
+    return checkpointed(there.select("file_id", "path", "content").mapInArrow(run, "ids binary, sketch binary"))
+
+
+def _read(packed: bytes) -> tuple:
+    return pickle.loads(zlib.decompress(packed))
+
+
+def _taught(sketches: DataFrame, markov: Markov) -> Model:
+    """The model fitted on all sketches."""
+    spark = sketches.sparkSession
+    packed = sketches.select("sketch")
+
+    def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+        for b in batches:
+            for x in b.column(0):
+                seen.update(taught_names(_read(x.as_py())))
+                if len(seen) >= FOLDED:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["name", "n"])
+                    seen = Counter()
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["name", "n"])
+
+    often = packed.mapInArrow(names, "name string, n long").groupBy("name").agg(F.sum("n").alias("n")).where("n >= 3").toArrow()
+    known = _numbered(dict(zip(often.column(0).to_pylist(), often.column(1).to_pylist(), strict=True)))
+    shipped = ship(spark, known)
+
+    def lessons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def given() -> pa.RecordBatch:
+            cols = list(zip(*((*k, n) for k, n in seen.items()), strict=True)) or [[] for _ in range(4)]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.int32(), pa.bool_(), pa.int64()), strict=True)], ["bag", "label", "held", "n"])
+
+        at, seen = unpack(shipped), Counter()
+        for b in batches:
+            for x in b.column(0):
+                seen.update(lessons_of(_read(x.as_py()), at))
+                if len(seen) >= FOLDED:
+                    yield given()
+                    seen = Counter()
+        yield given()
+
+    folded = checkpointed(packed.mapInArrow(lessons, "bag binary, label int, held boolean, n long").groupBy("bag", "label", "held").agg(F.sum("n").alias("n")))
+    by = folded.groupBy("label", "held").agg(F.sum("n").alias("n"), F.sum(F.length("bag")).alias("size")).collect()
+    numbers = {(r.label, r.held): r.n for r in by}
+    if sum(r.size for r in by) <= 4 * KEPT:
+        rows = folded.toArrow()
+        here = Lessons(sorted(zip(*(c.to_pylist() for c in rows.columns), strict=True)))
+        return solved(lambda f: f(here), known, numbers, markov)
+
+    def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = Lessons(list(zip(*(c.to_pylist() for c in b.columns), strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(vars(made), 5)], pa.binary())], ["lessons"])
+
+    apart = checkpointed(folded.mapInArrow(arrays, "lessons binary")).coalesce(spark.sparkContext.defaultParallelism)
+
+    def total(f: Callable[[Lessons], np.ndarray]) -> np.ndarray:
+        asked = ship(spark, f)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ask, out = unpack(asked), None
+            for b in batches:
+                for x in b.column(0):
+                    part = Lessons.__new__(Lessons)
+                    vars(part).update(pickle.loads(x.as_py()))
+                    out = ask(part) if out is None else out + ask(part)
+            if out is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], ["sums"])
+
+        sums = apart.mapInArrow(run, "sums binary").toArrow().column(0).to_pylist()
+        asked.destroy()
+        return np.sum([np.frombuffer(x) for x in sums], axis=0)
+
+    return solved(total, known, numbers, markov)
+
+
+def _filled(files: DataFrame) -> DataFrame:
+    return files.select("file_id", "path", "content").where(F.col("content").isNotNull() & (F.col("content") != ""))
+
+
+def train(files: DataFrame) -> Model:
+    """Fit on all files."""
+    there = _filled(files)
+    markov = _markov(there)
+    return _taught(_sketches(there, markov), markov)
 
 
 _PLAIN = re.compile(r"[a-zA-Z]+(?:[-_. /:,]+[a-zA-Z]+)*[.:,;]?|[\d.,:+-]+")
@@ -442,10 +722,14 @@ def ordinary(c: Candidate) -> bool:
     return c.kind == "literal" and _PLAIN.fullmatch(c.value) is not None and not _JUMBLED.search(c.value) and not (set(parts(c.name)) & SECRET_WORDS) and not _CONNECTS.search(c.before)
 
 
-def found_in(text: str, path: str | None, model: Model, threshold: float = 0.5) -> list[tuple[Candidate, float]]:
+def found_in(text: str, path: str | None, model: Model, threshold: float = 0.5, described: Described | None = None) -> list[tuple[Candidate, float]]:
     """The secrets of a text with their scores."""
-    scored = [(c, model.score(c, path)) for c in candidates(text, path) if not ordinary(c)]
-    return [(c, s) for c, s in scored if s >= threshold]
+    described, of_path = described or Described(model.markov), path_features(path)
+    told = [(c, described.of(c, of_path)) for c in candidates(text, path)]
+    get = model.weights.get
+    judged = [(c, sum([get(x, 0.0) for x in f])) for c, (plain, _, f) in told if not plain]
+    scores = model.scores(np.array([z for _, z in judged], float)).tolist()
+    return [(c, s) for (c, _), s in zip(judged, scores, strict=True) if s >= threshold]
 
 
 _ESCAPE = re.compile(r"\\(?:u[\da-fA-F]{4}|x[\da-fA-F]{2}|.)|[\r\n\"'`+, \t]", re.S)
@@ -467,28 +751,38 @@ def mask(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join(out) + text[at:]
 
 
-def secrets(files: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """(file_id, line_no, kind, name, score): one row for each line on which a secret begins."""
-    shipped = ship(files.sparkSession, model)
+def _judged(sketches: DataFrame, model: Model, threshold: float, kind: str) -> DataFrame:
+    shipped = ship(sketches.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = unpack(shipped)
+        get = fitted.weights.get
         for batch in batches:
-            rows: list[tuple] = []
-            for i, (path, text) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                best: dict[int, tuple] = {}
-                for c, s in found_in(text, path, fitted, threshold):
-                    if c.line not in best or s > best[c.line][-1]:
-                        best[c.line] = (i, c.line, "private" if c.kind == "block" else c.kind, c.name[:100], s)
-                rows.extend(best[k] for k in sorted(best))
-            cols = list(zip(*rows, strict=True)) if rows else [[] for _ in range(5)]
-            ids = batch.column(0).take(pa.array(cols[0], pa.int64()))
-            types = (pa.int32(), pa.string(), pa.string(), pa.float64())
-            yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, t) for c, t in zip(cols[1:], types, strict=True))], ["file_id", "line_no", "kind", "name", "score"])
+            for ids, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                names, flat, sizes, _, _, scored, places = _read(packed)
+                w = np.array([get(x, 0.0) for x in names], float)
+                z = np.bincount(np.repeat(np.arange(len(sizes)), sizes), w[flat], len(sizes))[scored]
+                best: dict[tuple[int, int], tuple] = {}
+                for (i, line, what, name), s in zip(places, fitted.scores(z).tolist(), strict=True):
+                    if s >= threshold and ((i, line) not in best or s > best[i, line][-1]):
+                        best[i, line] = (i, line, what, name, s)
+                cols = list(zip(*(best[k] for k in sorted(best)), strict=True)) or [[] for _ in range(5)]
+                of = pa.ipc.open_stream(ids).read_all().column(0).combine_chunks().take(pa.array(cols[0], pa.int64()))
+                types = (pa.int32(), pa.string(), pa.string(), pa.float64())
+                yield pa.RecordBatch.from_arrays([of, *(pa.array(c, t) for c, t in zip(cols[1:], types, strict=True))], ["file_id", "line_no", "kind", "name", "score"])
 
-    kind = files.schema["file_id"].dataType.simpleString()
-    there = files.select("file_id", "path", "content").where(F.col("content").isNotNull() & (F.col("content") != ""))
-    return there.mapInArrow(run, f"file_id {kind}, line_no int, kind string, name string, score double")
+    return sketches.mapInArrow(run, f"file_id {kind}, line_no int, kind string, name string, score double")
+
+
+def secrets(files: DataFrame, model: Model | None = None, threshold: float = 0.5) -> DataFrame:
+    """(file_id, line_no, kind, name, score): one row for each line on which a secret begins.
+
+    Without a model one is fitted on these files, whose candidates are then sought only once.
+    """
+    there = _filled(files)
+    markov = model.markov if model else _markov(there)
+    found = _sketches(there, markov)
+    return _judged(found, model or _taught(found, markov), threshold, files.schema["file_id"].dataType.simpleString())
 
 
 def redacted(files: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
@@ -497,10 +791,11 @@ def redacted(files: DataFrame, model: Model, threshold: float = 0.5) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = unpack(shipped)
+        described = Described(fitted.markov)
         for batch in batches:
             texts, counts = [], []
             for path, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                found = found_in(text, path, fitted, threshold) if text else []
+                found = found_in(text, path, fitted, threshold, described) if text else []
                 texts.append(mask(text, [s for c, _ in found for s in c.spans]) if found else text)
                 counts.append(len(found))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(counts, pa.int32())], ["file_id", "content", "n_secrets"])
